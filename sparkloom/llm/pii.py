@@ -122,13 +122,17 @@ def _any_found() -> Column:
     return out
 
 
+def _each(kind: str, f) -> Column:
+    """f(match, entity name) of every match of a kind."""
+    return F.transform(f"found_{kind}", lambda x: f(x, F.concat(F.lit(f"{kind}:"), x["value"])))
+
+
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, disclosure, action) of terms that disclose an entity.
     found: doc_id and the columns of find(); texts: all texts of the corpus."""
     near = _contexts(found).groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
     near = materialize(near, "near")
-    each = F.explode(F.concat(*[F.transform(f"found_{k}", lambda x, k=k: F.concat(F.lit(f"{k}:"), x["value"])) for k in KINDS])).alias("entity")
-    entities = found.select(each).groupBy("entity").agg(F.count("*").alias("n_c"))
+    entities = found.select(F.explode(F.concat(*[_each(k, lambda x, name: name) for k in KINDS])).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
     wanted = near.select("term").distinct()
     many = wanted.count()
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("word"))
@@ -145,8 +149,8 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _contexts(found: DataFrame) -> DataFrame:
     """(doc_id, entity, term): one row per occurrence of an entity and distinct term in its context."""
-    struct = lambda k: F.transform(f"found_{k}", lambda x: F.struct(F.concat(F.lit(f"{k}:"), x["value"]).alias("entity"), F.concat_ws(" ", x["left"], x["right"]).alias("near")))
-    one = found.select("doc_id", F.explode(F.concat(*[struct(k) for k in KINDS])).alias("x"))
+    near = lambda x, name: F.struct(name.alias("entity"), F.concat_ws(" ", x["left"], x["right"]).alias("near"))
+    one = found.select("doc_id", F.explode(F.concat(*[_each(k, near) for k in KINDS])).alias("x"))
     return one.select("doc_id", F.col("x.entity").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x.near"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
@@ -158,12 +162,12 @@ def _term_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
         .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "risky"))).alias("terms"))
     )
 
-    def side(kind, x, ctx, first):
+    def side(name, ctx, first):
         """Spans of the risky terms in a context that starts at code point first."""
         values, gaps = F.regexp_extract_all(ctx, F.lit(TERM), F.lit(0)), F.split(ctx, TERM, -1)
         steps = F.zip_with(F.slice(gaps, 1, F.size(values)), F.concat(F.array(F.lit("")), values), lambda g, v: (F.length(g) + F.length(v)).cast("long"))
         starts = _running(F.slice(steps, 1, F.size(values)), lambda a, b: a + b)
-        actions = F.try_element_at(F.col("terms"), F.concat(F.lit(f"{kind}:"), x["value"]))
+        actions = F.try_element_at(F.col("terms"), name)
         spans = F.transform(
             F.arrays_zip(starts.alias("s"), values.alias("v")),
             lambda y: F.struct((first + y["s"]).cast("long").alias("start"), (first + y["s"] + F.length(y["v"])).cast("long").alias("end"), F.try_element_at(actions, F.lower(y["v"])).alias("action")),
@@ -171,9 +175,8 @@ def _term_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
         return F.filter(spans, lambda y: y["action"].isNotNull())
 
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, action: string>>)")
-    found_terms = [
-        F.flatten(F.transform(f"found_{k}", lambda x, k=k: F.concat(side(k, x, x["left"], x["start"] - F.length(x["left"])), side(k, x, x["right"], x["end"])))) for k in KINDS
-    ]
+    sides = lambda x, name: F.concat(side(name, x["left"], x["start"] - F.length(x["left"])), side(name, x["right"], x["end"]))
+    found_terms = [F.flatten(_each(k, sides)) for k in KINDS]
     spans = F.array_sort(F.array_distinct(F.concat(*found_terms)))
     return found.join(own, "doc_id", "left").withColumn("found_term", F.when(F.col("terms").isNull(), none).otherwise(spans)).drop("terms")
 
@@ -205,7 +208,8 @@ PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PH
 
 def _sanitised(text: Column) -> Column:
     """text with its spans replaced; what several spans cover is replaced once."""
-    one = [F.transform(f"found_{k}", lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PLACEHOLDER[k]).alias("as"))) for k in KINDS]
+    masked = lambda kind: lambda x, name: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PLACEHOLDER[kind]).alias("as"))
+    one = [_each(k, masked(k)) for k in KINDS]
     terms = F.transform("found_term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "generalise", "[TERM]").otherwise("").alias("as")))
     spans = F.array_sort(F.concat(*one, terms))
     reach = _running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
