@@ -32,7 +32,7 @@ from ._common import materialize, table
 
 K = 10
 TREES = 48
-BITS = 64
+BITS = 58  # with the tree's number, 64
 SHARE = 0.4
 SAMPLE = 4096
 BLOCK_ROWS = 4096
@@ -68,32 +68,35 @@ class Forest:
         self.vectors, self.first = vectors[new], np.r_[np.flatnonzero(new), len(ids)]
         self.ids, self.planes, self.trees, self.bits = ids, forest_planes, trees, bits
         labels = self.labels(self.vectors)
-        self.order = np.argsort(labels, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(labels, self.order, 1)
+        self.order = np.argsort(labels, axis=1, kind="stable").reshape(-1)
+        self.sorted = np.sort(labels, axis=1).reshape(-1)  # tree by tree: the tree's number is on top of its hash strings
 
     def labels(self, vectors):
-        """trees x rows hash strings, the first bit on top."""
+        """trees x rows hash strings, the tree's number and then the first bit on top."""
         import numpy as np
 
         normal, offset = self.planes
         on = (vectors @ normal.T > offset).reshape(len(vectors), self.trees, self.bits)
-        return np.packbits(on, axis=2).view(">u8")[:, :, 0].T.astype(np.uint64)
+        on = np.concatenate([np.zeros((len(vectors), self.trees, 64 - self.bits), bool), on], axis=2)
+        codes = np.packbits(on, axis=2).view(">u8")[:, :, 0].T.astype(np.uint64)
+        return codes | (np.arange(self.trees, dtype=np.uint64) << np.uint64(self.bits))[:, None]
 
     def candidates(self, label, want: int):
         """Rows met when all trees ascend together until there are want of them."""
         import numpy as np
 
         met = np.zeros(len(self.vectors), bool)
-        held = [(0, 0)] * self.trees
-        for depth in range(self.bits, -1, -1):
-            drop = np.uint64(self.bits - depth)
-            for t in range(self.trees):
-                low = (int(label[t]) >> int(drop)) << int(drop)
-                a, b = np.searchsorted(self.sorted[t], np.uint64(low)), np.searchsorted(self.sorted[t], np.uint64(low | ((1 << int(drop)) - 1)), "right")
-                if (a, b) != held[t]:
-                    met[self.order[t, a:b]] = True
-                    held[t] = (a, b)
-            if met.sum() >= want:
+        at = np.searchsorted(self.sorted, label)  # a longest match in each tree is a neighbour of the query's place there
+        near = self.sorted[np.clip(np.stack([at - 1, at]), 0, len(self.sorted) - 1)] ^ label
+        depth = self.bits - int(near.min()).bit_length()
+        held = np.zeros((2, self.trees), np.int64)
+        for drop in range(self.bits - depth, self.bits + 1):
+            low = (label >> np.uint64(drop)) << np.uint64(drop)
+            now = np.stack([np.searchsorted(self.sorted, low), np.searchsorted(self.sorted, low | np.uint64((1 << drop) - 1), "right")])
+            for t in np.flatnonzero((now != held).any(0)):
+                met[self.order[now[0, t] : now[1, t]]] = True
+            held = now
+            if np.count_nonzero(met) >= want:
                 break
         return np.flatnonzero(met)
 
