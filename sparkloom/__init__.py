@@ -1,0 +1 @@
+"""Array and ordered-data analytics on Spark DataFrames."""
