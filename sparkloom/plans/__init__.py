@@ -1,4 +1,4 @@
 """All queries on the reference tables, by id."""
 
-from . import elementwise  # noqa: F401
+from . import elementwise, tensors  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
