@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 
 def parse_hex(c: Column, bits: int = 256) -> Column:
@@ -85,12 +86,11 @@ def bit_count(a: Column) -> Column:
     return word(0) + word(1) + word(2) + word(3)
 
 
-def total(c: Column, bits: int = 256) -> Column:
-    """Sum of a group, as a grouped-aggregate UDF."""
+def total(bits: int = 256):
+    """A grouped-aggregate UDF: the sum of a group."""
 
-    @F.pandas_udf("binary")
     def run(x):
         s = sum(int.from_bytes(v, "big") for v in x if v is not None)
         return (s & (1 << bits) - 1).to_bytes(bits // 8, "big")
 
-    return run(c)
+    return F.pandas_udf(run, "binary", PandasUDFType.GROUPED_AGG)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, watermark: str = "1 hour", width: str = "6 hours") -> DataFrame:
     """Count, sum and maximum per event type and tumbling window; late rows beyond the watermark go."""
-    stream = events.withWatermark("ts", watermark) if events.isStreaming else events
+    kind = events.schema["ts"].dataType
+    stream = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+    if events.isStreaming:
+        stream = stream.withWatermark("ts", watermark)
     out = stream.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("most"))
-    return out.select(F.col("window.start").alias("start"), "event_type", "n", "total", "most")
+    return out.select(F.col("window.start").cast(kind).alias("start"), "event_type", "n", "total", "most")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
