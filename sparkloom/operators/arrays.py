@@ -115,13 +115,18 @@ def softmax(df: DataFrame, keep: list[str]) -> DataFrame:
     return e.withColumn("v", F.when(F.col("s") == 0, 0.0).otherwise(F.col("e") / F.when(F.col("s") != 0, F.col("s")))).drop("e", "s")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def softmax_cell(x: Column) -> Column:
     """Softmax of an array cell: no shuffle."""
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    s = F.aggregate(e, F.lit(0.0), lambda t, v: t + v)
-    return F.transform(e, lambda v: F.when(s == 0, 0.0).otherwise(v / F.when(s != 0, s)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda t, v: t + v)
+    powers = let(F.array_max(x).cast("double"), lambda m: F.transform(x, lambda v: F.exp(v.cast("double") - m)))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda v: F.when(s == 0, 0.0).otherwise(v / F.when(s != 0, s)))))
 
 
 def rmsnorm_cell(x: Column, weight: Column, eps: float) -> Column:
     ms = F.aggregate(x, F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")) / F.size(x)
-    return F.zip_with(x, weight, lambda v, w: v.cast("double") * w.cast("double") / F.sqrt(ms + F.lit(eps)))
+    return let(F.sqrt(ms + F.lit(eps)), lambda r: F.zip_with(x, weight, lambda v, w: v.cast("double") * w.cast("double") / r))

@@ -35,8 +35,9 @@ def ceiling(probes: DataFrame, keys: DataFrame, probe: str, key: str, bounds: li
     first = both.where("tag = 1").groupBy("part").agg(F.min("k").alias("least"))
     after = first.select(F.col("part").alias("p"), "least")
     later = F.broadcast(after)  # one row per range: len(bounds) + 1 at most
-    w = Window.partitionBy("part").orderBy("x", "tag").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    swept = both.withColumn("own", F.first("k", ignorenulls=True).over(w)).where("tag = 0")
+    # downward, so that the frame grows row by row: Spark evaluates unbounded following frames in quadratic time
+    w = Window.partitionBy("part").orderBy(F.desc("x"), F.desc("tag")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("own", F.last("k", ignorenulls=True).over(w)).where("tag = 0")
     rest = swept.join(later, F.col("p") > F.col("part"), "left").groupBy("x", "part", "own").agg(F.min("least").alias("next"))
     return rest.select(F.col("x").alias(probe), F.coalesce("own", "next").alias("found")).distinct()
 
