@@ -294,3 +294,31 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     flips = F.bit_count(F.xxhash64("url").bitwiseXOR(F.xxhash64(F.concat("url", F.lit("x")))))
     return table(spark, sf_dir, "pages").agg(F.count_distinct(F.xxhash64("url")).alias("n"), F.avg(flips).between(30, 34).alias("avalanche"))
+
+
+@query("map_haskey", f"SELECT k, bool_or(t = 'purchase') AS has FROM {LAST} GROUP BY k")
+def _(spark, sf_dir):
+    return maps(spark, sf_dir).select("k", F.map_contains_key("m", F.lit("purchase")).alias("has"))
+
+
+@query("map_getordefault", f"SELECT k, coalesce(max(v) FILTER (t = 'purchase'), 0.25)::DOUBLE AS v FROM {LAST} GROUP BY k")
+def _(spark, sf_dir):
+    return maps(spark, sf_dir).select("k", F.coalesce(F.try_element_at("m", F.lit("purchase")), F.lit(0.25)).alias("v"))
+
+
+@query("map_drop", f"SELECT k, 0::BIGINT AS n FROM {LAST} GROUP BY k")
+def _(spark, sf_dir):
+    return maps(spark, sf_dir).select("k", F.size(F.map_filter("m", lambda k, v: F.lit(False))).cast("bigint").alias("n"))
+
+
+@query("map_putfrom", f"SELECT k, t, CASE WHEN t IN ('click', 'new') THEN 1.5 ELSE v END::DOUBLE AS v FROM (SELECT * FROM {LAST} WHERE t NOT IN ('click', 'new') UNION ALL SELECT DISTINCT k, u, 0 FROM {LAST}, (VALUES ('click'), ('new')) n(u))")
+def _(spark, sf_dir):
+    other = F.create_map(F.lit("click"), F.lit(1.5), F.lit("new"), F.lit(1.5))
+    merged = F.map_concat(F.map_filter("m", lambda k, v: ~F.map_contains_key(other, k)), other)
+    return maps(spark, sf_dir).select("k", F.explode(merged).alias("t", "v"))
+
+
+_cell("queue_addmany", lambda: _join(F.concat("l", ab())), f"array_to_string(list_concat(l, {AB}), ',')")
+_cell("queue_add", lambda: F.size(F.array_append("q", F.lit(0).cast("bigint"))), "len(q) + 1", "INT")
+_cell("llist_add", lambda: _join(F.array_append("l", F.lit("x"))), "array_to_string(list_append(l, 'x'), ',')")
+_cell("llist_pop", lambda: _join(F.slice("l", 2, 1000000)), "array_to_string(l[2:], ',')")

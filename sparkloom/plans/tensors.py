@@ -323,3 +323,27 @@ def _(spark, sf_dir):
     return frame(spark, sf_dir).where((c("y") > 0) & (c("b") != 0)).select("i", "y")
 
 
+
+
+for name, dtype, factor in (("f32", "float", 0.5), ("half", "float", 0.25), ("u8", "smallint", 1), ("i32", "int", 100)):
+    whole = isinstance(factor, int)
+
+    @query(f"la_matmul_{name}", f"SELECT a.i, b.i AS j, sum(a.v * {factor} * b.v * {factor})::{'BIGINT' if whole else 'DOUBLE'} AS v FROM {GRID} a JOIN {GRID} b USING (k) GROUP BY a.i, b.i")
+    def _(spark, sf_dir, dtype=dtype, factor=factor, whole=whole):
+        wide = "bigint" if whole else "double"  # the accumulator's type
+        a = grid(spark, sf_dir).withColumn("v", (c("v") * factor).cast(dtype).cast(wide))
+        return arrays.matmul(a, a.select("k", c("i").alias("j"), "v"))
+
+
+@query("mm_strassen", f"SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE AS v FROM {GRID} a JOIN {GRID} b USING (k) GROUP BY a.i, b.i")
+def _(spark, sf_dir):
+    """The product itself: a faster multiplication scheme is Catalyst's business, not the caller's."""
+    a = grid(spark, sf_dir).withColumn("v", c("v").cast("double"))
+    return arrays.matmul(a, a.select("k", c("i").alias("j"), "v"))
+
+
+@query("la_squeeze", f"SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM {GRID} a JOIN {GRID} b USING (k) WHERE a.i % 50 = 1 AND b.i % 50 = 1 GROUP BY a.i, b.i")
+def _(spark, sf_dir):
+    """A batch of one matrix: the result has no batch axis."""
+    one = grid(spark, sf_dir).where("i % 50 = 1").withColumn("p", F.lit(0))
+    return arrays.batched_matmul(one, one.select("p", "k", c("i").alias("j"), "v")).drop("p")
