@@ -1 +1,11 @@
-"""Array and ordered-data analytics on Spark DataFrames."""
+"""Array and ordered-data analytics on Spark DataFrames.
+
+Functions that run on executors are pickled by value, so executors need no copy
+of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

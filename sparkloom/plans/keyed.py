@@ -32,17 +32,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_name")
 
 
-CEILING = "SELECT p.x, (SELECT min(c_custkey) FROM {keys} WHERE c_custkey >= p.x) AS found FROM (SELECT DISTINCT o_orderkey AS x FROM orders) p"
+CEILING = "SELECT p.x, k.k AS found FROM (SELECT DISTINCT {probe} AS x FROM {probes}) p ASOF LEFT JOIN (SELECT DISTINCT {key} AS k FROM {keys}) k ON p.x <= k.k"
 
 
-def _ceiling(spark, sf_dir, keys):
-    probes = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("x"))
-    return ordered.ceiling(probes, keys, "x", "c_custkey", ordered.quantile_bounds(keys, "c_custkey", 16))
+def _ceiling(probes, probe, keys, key):
+    return ordered.ceiling(probes.select(c(probe).alias("x")), keys.select(c(key).alias("k")), "x", "k", ordered.quantile_bounds(keys, key, 16))
 
 
-@query("kv_findnext", CEILING.format(keys="(SELECT c_custkey FROM customer WHERE c_custkey % 3 = 1)"))
+@query("kv_findnext", CEILING.format(probe="l_extendedprice", probes="lineitem", key="o_totalprice", keys="orders"))
 def _(spark, sf_dir):
-    return _ceiling(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 3 = 1"))
+    return _ceiling(table(spark, sf_dir, "lineitem"), "l_extendedprice", table(spark, sf_dir, "orders"), "o_totalprice")
 
 
 @query("kv_remove", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -77,9 +76,9 @@ def _(spark, sf_dir):
     return _frozen(spark, sf_dir).where("c_custkey = 77").select("c_name")
 
 
-@query("frozen_findnext", CEILING.format(keys="customer"))
+@query("frozen_findnext", CEILING.format(probe="o_orderkey", probes="orders", key="c_custkey", keys="customer"))
 def _(spark, sf_dir):
-    return _ceiling(spark, sf_dir, _frozen(spark, sf_dir))
+    return _ceiling(table(spark, sf_dir, "orders"), "o_orderkey", _frozen(spark, sf_dir), "c_custkey")
 
 
 @query("bt_insert", "SELECT url AS k, min(page_id) AS v, count(*) > 1 AS existed FROM pages WHERE url <> '' GROUP BY url")
@@ -93,9 +92,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url <> ''").groupBy(c("url").alias("k")).agg(F.max("page_id").alias("v"))
 
 
-@query("bt_find", "SELECT o_orderkey, coalesce(c_custkey, 0) AS v FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("bt_find", "SELECT o_orderkey, coalesce(c_custkey, 0) AS v FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def _(spark, sf_dir):
-    keys = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    keys = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return table(spark, sf_dir, "orders").join(keys, c("o_custkey") == c("c_custkey"), "left").select("o_orderkey", F.coalesce("c_custkey", F.lit(0)).alias("v"))
 
 

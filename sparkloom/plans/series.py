@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee, wideint
 from ..operators import stats
+from ..sources import files
 from ..streaming import running
 from .elementwise import FRAME, frame
 from .registry import query, table
@@ -207,12 +208,10 @@ def _(spark, sf_dir):
 
 @query("ext_stream_windowed", WINDOWED)
 def _(spark, sf_dir):
-    import uuid
-
     # a file stream takes a folder; the glob names the one file of the table
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return running.run_once(running.windowed(stream, watermark="400 days"), f"w{uuid.uuid4().hex}")
+    return running.run_once(running.windowed(stream, watermark="400 days"), files.shared_path(spark, "stream"))
 
 
 @query("ext_rollup", "SELECT l_returnflag AS f, l_linestatus AS s, count(*)::BIGINT AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

@@ -16,8 +16,14 @@ def windowed(events: DataFrame, watermark: str = "1 hour", width: str = "6 hours
     return out.select(F.col("window.start").cast(kind).alias("start"), "event_type", "n", "total", "most")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available now of a stream, as a table of the session (for small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """The result of all that a stream holds now.  Each trigger's result replaces the
+    one before it in a folder under path, beside the query's checkpoint; path must be
+    shared by all executors."""
+    schema = stream.schema
+    q = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/result")).start()
+    )
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/result")
