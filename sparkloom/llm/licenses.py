@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ._common import table
 
 THRESHOLD = 0.8
+STEP = 512  # pairs of words between two looks at the size bound
 #: Public licence notices, in full and in their usual short forms.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -62,16 +63,16 @@ def scan(text: str | None, templates, threshold: float) -> tuple[int, str | None
     widest = max(len(g) for _, g in templates) * high
     hits, best = 0, (0.0, None)
     for raw in segments(text):
-        if len(raw) < 4 or len(raw) > 1 << 16 and len(raw.split(None, int(widest * 8))) > widest * 8 and len(bigrams(words_of(raw))) > widest:
-            continue
         words = words_of(raw)
         if len(words) < 2:
             continue
-        near = [(name, g) for name, g in templates if len(g) <= len(words[1:]) * high]  # distinct bigrams are no more than words
-        if not near:
-            continue
-        own = bigrams(words)
-        if len(own) > widest:
+        near = [(name, g) for name, g in templates if low * len(g) <= len(words) - 1]  # distinct bigrams are no more than pairs of words
+        own: set = set()
+        for at in range(0, len(words) - 1, STEP) if near else ():
+            own.update(bigrams(words[at : at + STEP + 1]))
+            if len(own) > widest:
+                break
+        if not near or len(own) > widest:
             continue
         top = (0.0, None)
         for name, g in near:
