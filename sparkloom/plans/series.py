@@ -162,7 +162,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.parse_hex(F.concat(F.lit("0x"), F.hex("p_partkey")))).alias("v"))
 
 
-@query("u_neg")
+@query("u_neg", "SELECT p_partkey AS i, CASE WHEN p_partkey = 0 THEN repeat('0', 64) ELSE repeat('f', 48) || lower(to_hex((18446744073709551616::HUGEINT - p_partkey)::HUGEINT)) END AS v FROM part")
 def _(spark, sf_dir):
     zero = wideint.from_long(F.lit(0).cast("bigint"))
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.apply("sub", zero, wideint.from_long(c("p_partkey")))).alias("v"))
