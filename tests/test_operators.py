@@ -141,3 +141,17 @@ def test_byte_strings(spark):
 def test_hex_dump(spark):
     got = spark.createDataFrame([(bytearray(b"ab\x00" * 6),)], "b binary").select(files.hex_dump(F.col("b"))).first()[0]
     assert got.split("\n")[0].startswith("00000000  61 62 00") and got.split("\n")[1].startswith("00000010") and got.endswith("|b.|")
+
+
+def test_periods_of_a_sine(spark):
+    import numpy as np
+
+    y = np.sin(np.arange(200) * 2 * np.pi / 20)
+    lengths = [p for _, p in stats.half_periods(range(200), y, float(y.std()), float(y.mean()))]
+    assert lengths[0] == 5 and set(lengths[1:]) == {10}  # the cutoff of the minima is negative, so the start counts as one
+    df = spark.createDataFrame([(k, i, float(v)) for k in (1, 2) for i, v in enumerate(y)] + [(3, 0, 1.0)], "key long, seq long, v double")
+    got = {r["key"]: r for r in stats.periods_per_key(df, "key", "seq", "v", 5.0).collect()}
+    assert got[1]["frequency"] == got[2]["frequency"] == 0.5 and got[1]["n_periods"] == len(lengths)
+    assert got[3]["n_periods"] == 0 and (got[3]["frequency"] is None or math.isnan(got[3]["frequency"]))  # pandas NaN may come back as null
+    tops = {(r["key"], r["i"]) for r in stats.peaks_per_key(df, "key", "seq", "v", 0.5).collect()}
+    assert tops == {(k, i) for k in (1, 2) for i in range(5, 200, 20)}
