@@ -9,16 +9,18 @@ counts, and its tokens are the held-out events.  Events are gathered over the wh
 corpus in a grid of (bucket, log f(w | v), log f(w)) of fixed size, quarter octaves,
 which is all that reaches the driver.
 
-Counts at scale.  Executors number the tokens of a block of documents and send,
-per bucket of the 64-bit hash range, the block's distinct unigrams and bigrams once
+Counts at scale.  The texts are read once: executors number the tokens of a block
+of documents and write the block to a table in the shared folder, so that a lost
+executor, or another cut of the input, can't change what a block holds.  Each block
+sends, per bucket of the 64-bit hash range, its distinct unigrams and bigrams once
 (sorted hashes, delta-coded, with counts): a frequent word or pair costs one entry
 a block, however often it occurs.  Reducers add the entries up and answer each
 block with the corpus counts of its keys, in its order, without the keys.  The
-answers are kept in a table in the shared folder, and the blocks' token numbers
+answers are a table in the shared folder too, and the blocks' token numbers
 meet them grouped by block, where every document is scored.  Both the number of
 buckets and that of blocks follow the size of the texts.  A block is known by a hash
-of its contents, so a run that dealt the rows otherwise fails instead of mixing
-counts.  Two n-grams are one if their 64-bit hashes agree.
+of its contents; equal blocks have equal answers.  Two n-grams are one if their
+64-bit hashes agree.
 
 Cases: a null or empty text is the end token alone; long texts are one block; rows
 with a null id are scored and used for training; repeated rows count each; without
@@ -88,18 +90,18 @@ class Block:
     """Documents whose tokens are numbered together; token numbers are positions
     in the sorted array of the block's unigram keys."""
 
-    def __init__(self, docs: list, numbers: list, vocabulary: dict, text_crc: int, dev: bool):
+    def __init__(self, docs: list, numbers: list, vocabulary: dict, seen: list, dev: bool):
         import numpy as np
         import xxhash
 
-        self.docs, self.dev = docs, dev  # docs: (doc_id, fold, tokens)
+        self.docs, self.dev, self.bytes = docs, dev, seen[2]  # docs: (doc_id, fold, tokens)
         self.lengths = np.array([d[2] for d in docs], np.int64)
         keys = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in vocabulary), np.uint64, len(vocabulary))
         order = np.argsort(keys)
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         self.unigrams, self.tokens = keys[order], place[np.concatenate(numbers)]
-        self.block = xxhash.xxh64_intdigest(repr((dev, text_crc, [d[0] for d in docs])).encode(), 2) >> 1
+        self.block = xxhash.xxh64_intdigest(repr((dev, seen[1], [d[0] for d in docs])).encode(), 2) >> 1
 
 
 def _blocks(batches):
@@ -117,7 +119,7 @@ def _blocks(batches):
             self[w] = n = next(self.next)
             return n
 
-    new = lambda: ([], [], Numbers(), [0, 0])
+    new = lambda: ([], [], Numbers(), [0, 0, 0])  # tokens, check sum and bytes so far
     kept = {False: new(), True: new()}
     for b in batches:
         for doc_id, five, fifty, text in zip(*(b.column(k) for k in range(4))):
@@ -130,12 +132,13 @@ def _blocks(batches):
             docs.append((doc_id.as_py(), five.as_py(), len(words)))
             seen[0] += len(words)
             seen[1] = zlib.crc32(raw, seen[1])
+            seen[2] += len(raw)
             if seen[0] >= BLOCK_TOKENS:
-                yield Block(docs, numbers, vocabulary, seen[1], dev)
+                yield Block(docs, numbers, vocabulary, seen, dev)
                 kept[dev] = new()
     for dev, (docs, numbers, vocabulary, seen) in kept.items():
         if docs:
-            yield Block(docs, numbers, vocabulary, seen[1], dev)
+            yield Block(docs, numbers, vocabulary, seen, dev)
 
 
 def _bigram_keys(tokens, lengths, unigrams):
@@ -155,16 +158,17 @@ def _key_batches(shift: int):
         import numpy as np
         import pyarrow as pa
 
-        for block in _blocks(batches):
-            train = np.repeat(np.array([d[1] != HELD_OUT for d in block.docs]), block.lengths)
-            bigrams, place = np.unique(_bigram_keys(block.tokens, block.lengths, block.unigrams)[0], return_inverse=True)
+        for block in (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows)):
+            lengths, unigrams, tokens = _stored(block)
+            train = np.repeat(np.array([x != HELD_OUT for x in block["folds"]]), lengths)
+            bigrams, place = np.unique(_bigram_keys(tokens, lengths, unigrams)[0], return_inverse=True)
             rows = []
-            for order, keys, at in ((1, block.unigrams, block.tokens), (2, bigrams, place)):
+            for order, keys, at in ((1, unigrams, tokens), (2, bigrams, place)):
                 counts = np.bincount(at, weights=train, minlength=len(keys)).astype("<u4")
                 bucket = (keys >> np.uint64(shift)).astype(np.int64)
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 for a, b in zip(edges, [*edges[1:], len(keys)]):
-                    rows.append((order, int(bucket[a]), block.block, block.dev, int(b - a), _squeeze_sorted(keys[a:b]), _squeeze(counts[a:b])))
+                    rows.append((order, int(bucket[a]), block["block"], block["dev"], int(b - a), _squeeze_sorted(keys[a:b]), _squeeze(counts[a:b])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))],
                 names=["order", "bucket", "block", "dev", "n", "keys", "counts"],
@@ -200,24 +204,30 @@ def _token_batches(batches):
     for b in _blocks(batches):
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([b.block]), pa.array([[d[0] for d in b.docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in b.docs]], pa.list_(pa.int32())),
+                pa.array([b.block]), pa.array([b.dev]), pa.array([b.bytes]), pa.array([[d[0] for d in b.docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in b.docs]], pa.list_(pa.int32())),
                 pa.array([b.lengths.tolist()], pa.list_(pa.int64())), pa.array([len(b.unigrams)], pa.int32()), pa.array([_squeeze_sorted(b.unigrams)], pa.binary()),
                 pa.array([_squeeze(b.tokens.astype("<u4"))], pa.binary()),
             ],
-            names=["block", "doc_ids", "folds", "lengths", "n", "unigrams", "tokens"],
+            names=["block", "dev", "bytes", "doc_ids", "folds", "lengths", "n", "unigrams", "tokens"],
         )
 
 
-TOKENS = "block long, doc_ids array<long>, folds array<int>, lengths array<long>, n int, unigrams binary, tokens binary"
+TOKENS = "block long, dev boolean, bytes long, doc_ids array<long>, folds array<int>, lengths array<long>, n int, unigrams binary, tokens binary"
+
+
+def _stored(row):
+    """(lengths, unigram keys, token numbers) of a row of TOKENS."""
+    import numpy as np
+
+    lengths = np.array(row["lengths"], np.int64)
+    return lengths, _expand_sorted(row["unigrams"], row["n"]), _expand(row["tokens"], "<u4", int(lengths.sum()))
 
 
 def _events(row, answers, deleted: bool):
     """(starts, c(w), c(v), c(vw)) per token of a block; with deleted, less the dev documents' counts."""
     import numpy as np
 
-    lengths = np.array(row["lengths"], np.int64)
-    unigrams = _expand_sorted(row["unigrams"], row["n"])
-    tokens = _expand(row["tokens"], "<u4", int(lengths.sum()))
+    lengths, unigrams, tokens = _stored(row)
     answers = answers.drop_duplicates(["order", "bucket"]).sort_values(["order", "bucket"])
     values = {}
     for order, part in answers.groupby("order"):
@@ -228,7 +238,7 @@ def _events(row, answers, deleted: bool):
     keys, starts = _bigram_keys(tokens, lengths, unigrams)
     bigrams, place = np.unique(keys, return_inverse=True)
     if len(values.get(1, ())) != len(unigrams) or len(values.get(2, ())) != len(bigrams):
-        raise RuntimeError("the documents were dealt into other blocks than before; write them to a table first")
+        raise RuntimeError("a block's answers don't fit its keys")
     own = values[1][tokens]
     context = np.empty_like(own)
     context[1:] = own[:-1]
@@ -257,8 +267,6 @@ def _grid_events(kept_tokens: int):
 
         out = []
         for _, row in blocks.iterrows():
-            if not len(answers):
-                raise RuntimeError("the documents were dealt into other blocks than before; write them to a table first")
             _, own, context, pair = _events(row, answers, True)
             f2, f1 = _estimates(own, context, pair, kept_tokens)
             cell = lambda f: np.where(f > 0, np.rint(-GRID * np.log2(np.maximum(f, 1e-300))), -1).astype(np.int64)
@@ -308,8 +316,6 @@ def _score_blocks(weights, types: int, total: int):
 
         out = []
         for _, row in blocks.iterrows():
-            if not len(answers):
-                raise RuntimeError("the documents were dealt into other blocks than before; write them to a table first")
             starts, own, context, pair = _events(row, answers, False)
             f2, f1 = _estimates(own, context, pair, total)
             w = weights[_level(context)]
@@ -335,21 +341,22 @@ def score(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), TEST_OF).cast("int").alias("five"), fold(F.col("doc_id"), DEV_OF).cast("int").alias("fifty"),
         F.col("text").cast("string").alias("text"),
     )
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = materialize(rows.mapInArrow(_token_batches, TOKENS), "blocks")
+    size = blocks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES) - 1).bit_length()
-    sent = rows.mapInArrow(_key_batches(64 - bits), "order int, bucket int, block long, dev boolean, n int, keys binary, counts binary")
+    sent = blocks.mapInArrow(_key_batches(64 - bits), "order int, bucket int, block long, dev boolean, n int, keys binary, counts binary")
     answers = sent.groupBy("order", "bucket").applyInPandas(
         _add_up, "order int, bucket int, block long, dev boolean, n int, total binary, deleted binary, v long, tokens long, dev_tokens long"
     )
     answers = materialize(answers, "counts")
     types, total, dev = (int(x or 0) for x in answers.where("block = -1").agg(F.sum("v"), F.sum("tokens"), F.sum("dev_tokens")).first())
     found = answers.where("block <> -1")
-    cogrouped = lambda r, a: r.mapInArrow(_token_batches, TOKENS).groupBy("block").cogroup(a.groupBy("block"))
+    cogrouped = lambda b, a: b.drop("dev", "bytes").groupBy("block").cogroup(a.groupBy("block"))
     dev_answers = found.where("dev").select("block", "order", "bucket", "n", "total", "deleted")
-    cells = cogrouped(rows.where(F.col("fifty") == DEV), dev_answers).applyInPandas(_grid_events(total - dev), "level long, b2 long, b1 long, n long")
+    cells = cogrouped(blocks.where("dev"), dev_answers).applyInPandas(_grid_events(total - dev), "level long, b2 long, b1 long, n long")
     events = cells.groupBy("level", "b2", "b1").agg(F.sum("n").alias("n")).collect()  # at most LEVELS x (some 30 GRID)^2 cells
     weights = mixture([tuple(r) for r in events], types)
-    scored = cogrouped(rows, found.select("block", "order", "bucket", "n", "total")).applyInPandas(
+    scored = cogrouped(blocks, found.select("block", "order", "bucket", "n", "total")).applyInPandas(
         _score_blocks(weights, types, total), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
