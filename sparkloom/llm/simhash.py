@@ -19,8 +19,8 @@ Cases: a null or empty text, or one without words, has fingerprint zero and
 links like any other; fewer than three words make one shingle of all of them;
 equal texts and repeated rows share a fingerprint, each row is returned; rows
 with a null id take part and are returned, null ids never become component ids
-unless the whole component has none; an empty table gives an empty result;
-further columns of docs are ignored.
+unless the whole component has none (drop_near_duplicates then keeps one of its
+rows); an empty table gives an empty result; further columns of docs are ignored.
 """
 
 from __future__ import annotations
@@ -73,13 +73,19 @@ def _fingerprint_batches(batches):
     import pyarrow as pa
 
     for b in batches:
-        fp = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        fp = np.fromiter((simhash(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
+
+
+def _mark(doc_id, text):
+    """A hash that tells the rows of one id apart by text, and those without an id from id 0."""
+    return F.xxhash64(doc_id.isNull(), text.cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, mark, fp): the fingerprint as a signed long."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
+    return docs.select(doc_id, _mark(doc_id, text), text.cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, mark long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -98,23 +104,37 @@ def links(fps: DataFrame) -> DataFrame:
     return star.where("hub is not null and hub <> fp").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, fp) of every row, and (fp, root, first) per fingerprint:
+    its component and its first row, by id and, for equal ids, by mark."""
     prints = materialize(fingerprints(docs), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
+    classes = prints.groupBy("fp").agg(first)
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, materialize(rooted, "rooted")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    prints, rooted = _classes(docs)
+    least = rooted.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     of_class = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id; of
-    rows that repeat an id one stays; of a group without any id, nothing."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row of each group: one with the smallest id, or of a group
+    without any id one of its rows; where an id repeats with several texts, the
+    texts are told apart.  The join and the removal of repeated rows share one
+    shuffle of docs."""
+    own = "_" * max(map(len, docs.columns))  # in front of a name it makes one that docs doesn't have
+    one = _classes(docs)[1].groupBy("root").agg(F.min("first").alias("first"))
+    keep = one.select(F.coalesce("first.doc_id", F.lit(0)).alias(own + "id"), F.col("first.mark").alias(own + "mark"))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(own + "id", F.coalesce(doc_id, F.lit(0))).withColumn(own + "mark", _mark(doc_id, F.col("text")))
+    kept = keyed.join(keep, [own + "id", own + "mark"], "left_semi").dropDuplicates([own + "id", own + "mark"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

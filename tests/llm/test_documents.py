@@ -80,6 +80,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
+def test_a_group_keeps_one_row_without_ids_and_with_repeated_ids(spark):
+    a, b, c = "alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue black white pink " * 9
+    docs = spark.createDataFrame([(None, a, "x"), (None, a, "y"), (0, b, "z"), (7, b, "z"), (7, c, "u"), (7, c, "u"), (8, c, "v")], "doc_id long, text string, mark string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == [(False, 0, b), (False, 7, c), (True, 0, a)]
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
 # rules
 def plain_rules(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
