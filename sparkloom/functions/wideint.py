@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 
 def parse_hex(c: Column, bits: int = 256) -> Column:
@@ -86,11 +85,16 @@ def bit_count(a: Column) -> Column:
     return word(0) + word(1) + word(2) + word(3)
 
 
-def total(bits: int = 256):
-    """A grouped-aggregate UDF: the sum of a group."""
+def total(a: Column, bits: int = 256) -> Column:
+    """The sum of a group, modulo 2**bits: native sums of 16-bit limbs, combined
+    before the shuffle (exact for 2**47 rows), and their carries once per group."""
+    n = bits // 16
+    limb = lambda k: F.conv(F.hex(F.substring(a, 2 * k + 1, 2)), 16, 10).cast("bigint")
+    sums = F.array(*[F.coalesce(F.sum(limb(k)), F.lit(0).cast("bigint")) for k in reversed(range(n))])
 
-    def run(x):
-        s = sum(int.from_bytes(v, "big") for v in x if v is not None)
-        return (s & (1 << bits) - 1).to_bytes(bits // 8, "big")
+    def carry(acc, s):
+        t = acc["carry"] + s
+        return F.struct(F.shiftright(t, 16).alias("carry"), F.concat(F.lpad(F.hex(t.bitwiseAND(F.lit(0xFFFF).cast("bigint"))), 4, "0"), acc["digits"]).alias("digits"))
 
-    return F.pandas_udf(run, "binary", PandasUDFType.GROUPED_AGG)
+    none = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("digits"))
+    return F.unhex(F.aggregate(sums, none, carry)["digits"])

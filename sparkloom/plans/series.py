@@ -194,7 +194,7 @@ def _(spark, sf_dir):
 
 @query("u_sum", "SELECT p_size AS k, lpad(lower(hex(sum(p_partkey)::BIGINT)), 64, '0') AS v FROM part GROUP BY p_size")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(c("p_size").alias("k"), wideint.from_long(c("p_partkey")).alias("w")).groupBy("k").agg(wideint.total()(c("w")).alias("v")).withColumn("v", wideint.to_hex(c("v")))
+    return table(spark, sf_dir, "part").select(c("p_size").alias("k"), wideint.from_long(c("p_partkey")).alias("w")).groupBy("k").agg(wideint.total(c("w")).alias("v")).withColumn("v", wideint.to_hex(c("v")))
 
 
 # extensions

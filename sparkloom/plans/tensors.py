@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ieee
+from ..functions import ieee, wideint
 from ..operators import arrays
 from .elementwise import FRAME, frame
 from .registry import query, table
@@ -246,6 +246,17 @@ def _(spark, sf_dir):
     return arrays.matmul(coo(spark, sf_dir), centroids).withColumn("v", r6("v"))
 
 
+WIDE = f"(SELECT i, k, v * 1000000000000007 AS v FROM {GRID})"
+
+
+@query("la_matmul_u256", f"SELECT a.i, b.i AS j, lpad(lower(hex(sum(a.v::HUGEINT * b.v))), 64, '0') AS v FROM {WIDE} a JOIN {WIDE} b USING (k) GROUP BY a.i, b.i")
+def _(spark, sf_dir):
+    a = grid(spark, sf_dir).withColumn("v", wideint.from_long(c("v") * 1000000000000007))
+    x, y = a.select("i", "k", c("v").alias("x")), a.select("k", c("i").alias("j"), c("v").alias("y"))
+    products = x.join(y, "k").select("i", "j", wideint.apply("mul", c("x"), c("y")).alias("w"))
+    return products.groupBy("i", "j").agg(wideint.to_hex(wideint.total(c("w"))).alias("v"))
+
+
 for name, f, s in (("int3", lambda v: (v + 4).bitwiseAND(F.lit(7).cast("bigint")) - 4, "((v + 4) & 7) - 4"), ("bin", lambda v: (v % 2), "v % 2"), ("i8", lambda v: v % 128, "v % 128"), ("i64", lambda v: v * 1000, "v * 1000")):
 
     @query(f"la_matmul_{name}", f"WITH g AS (SELECT i, k, ({s})::BIGINT AS v FROM {GRID}) SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM g a JOIN g b USING (k) GROUP BY a.i, b.i")

@@ -155,3 +155,11 @@ def test_periods_of_a_sine(spark):
     assert got[3]["n_periods"] == 0 and (got[3]["frequency"] is None or math.isnan(got[3]["frequency"]))  # pandas NaN may come back as null
     tops = {(r["key"], r["i"]) for r in stats.peaks_per_key(df, "key", "seq", "v", 0.5).collect()}
     assert tops == {(k, i) for k in (1, 2) for i in range(5, 200, 20)}
+
+
+def test_wide_sums_carry_and_wrap(spark):
+    wide = [(1 << 256) - 1, (1 << 255) + 5, (1 << 128) - 1, 1, 0xFFFF]
+    rows = [(1, x.to_bytes(32, "big")) for x in wide] + [(2, None), (3, None), (3, (7).to_bytes(32, "big"))]
+    df = spark.createDataFrame(rows, "k int, w binary").groupBy("k").agg(wideint.total(F.col("w")).alias("s"))
+    got = {r["k"]: int.from_bytes(r["s"], "big") for r in df.collect()}
+    assert got == {1: sum(wide) % (1 << 256), 2: 0, 3: 7}
