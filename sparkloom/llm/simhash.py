@@ -10,6 +10,10 @@ flips within a half are needed (992 rather than 2016).  At a meeting point with
 radius-1 member everybody is within 3 of that member, so verification is by
 geometry and the group becomes a star: edges are linear in its size.  A point
 can gather no more than 65 + 992 distinct fingerprints.
+drop_near_duplicates has its own rule, five-word shingles with a Jaccard
+similarity of SIMILAR or more: candidates agree in one of BANDS bands of ROWS
+minhashes (at similarity 0.8 all but 7 in 100,000 pairs do), and each is checked
+on the shingle sets before it links.
 
 Before that, fingerprints that can't have a partner are set aside: cut into
 seven parts, two words at distance 3 or less agree in four of them at least; a
@@ -35,6 +39,10 @@ from ._common import components, materialize, table
 SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
+NEAR_SHINGLE = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 5
+STARS = 2
 HALVES = (range(0, 32), range(32, 64))
 PARTS = tuple(range(64 * k // 7, 64 * (k + 1) // 7) for k in range(7))
 
@@ -123,13 +131,109 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingles(text: str | None, words: int):
+    """Hashes of the distinct shingles of so many words, sorted; one of all words where there are fewer."""
+    import numpy as np
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, starts = b" ".join(w), [0, *accumulate(len(x) + 1 for x in w)]
+    ends = starts[words:] if len(w) >= words else starts[-1:]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends)), np.uint64)) if w else np.zeros(0, np.uint64)
+
+
+def _band_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    factors = np.random.RandomState(SEED).randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for b in batches:
+        sets, keys, sizes = [], [], []
+        for t in b.column(2):
+            own = _shingles(t.as_py(), NEAR_SHINGLE)
+            least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(own), 1 << 12):
+                least = np.minimum(least, (own[at : at + (1 << 12), None] * factors).min(0))
+            raw, step = least.tobytes(), 8 * ROWS
+            sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            keys.append([_signed(xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k)) for k in range(BANDS)] if len(own) else [])
+            sizes.append(len(own))
+        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "fp", "size", "keys"])
+
+
+def _set_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        sets = [_shingles(t.as_py(), NEAR_SHINGLE).view(np.int64) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "words"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    a, b = sets.select(F.col("fp").alias("u"), F.col("words").alias("a")), sets.select(F.col("fp").alias("v"), F.col("words").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _near_roots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of the components that the similar pairs of members (key, fp,
+    size) make; a pair is compared if it shares a key.  Rounds compare each bucket's
+    first member with the others and take it out; then whatever is left in different
+    components is compared pair by pair, so that a bucket of near copies never
+    becomes a square, and no pair that could join two components is left out."""
+    edges, rest = None, members.withColumn("root", F.col("fp"))
+    fits = F.least("size", "other") >= SIMILAR * F.greatest("size", "other")  # a Jaccard of SIMILAR needs that
+    for k in range(STARS + 1):
+        if k < STARS:
+            hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "size", "root")).alias("hub"))
+            met = rest.join(hub, "key").select("fp", "size", "root", F.col("hub.fp").alias("v"), F.col("hub.size").alias("other"), F.col("hub.root").alias("its"))
+            rest = rest.join(hub, "key").where("fp <> hub.fp").select("key", "fp", "size")
+        else:
+            one = rest.select("key", F.col("fp").alias("v"), F.col("size").alias("other"), F.col("root").alias("its"))
+            met = rest.join(one, "key").where("fp < v")
+        pairs = met.where((F.col("root") != F.col("its")) & fits).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct()
+        new = materialize(_similar(materialize(pairs, "pairs"), sets), "similar")
+        edges = new if edges is None else edges.union(new)
+        roots = materialize(components(edges), "roots")
+        if k < STARS:
+            of = roots.select(F.col("node").alias("fp"), "root")
+            rest = rest.join(of, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+            open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            rest = materialize(rest.join(open_, "key"), "rest")
+            if rest.isEmpty():
+                break
+    return roots
+
+
+def _near_classes(docs: DataFrame) -> DataFrame:
+    """(fp, root, first) per distinct shingle set, as in _classes."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
+    keyed = docs.select(doc_id.alias("doc_id"), _mark(doc_id, text).alias("mark"), text.cast("string").alias("text"))
+    prints = materialize(keyed.mapInArrow(_band_batches, "doc_id long, mark long, fp long, size long, keys array<long>"), "bands")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
+    classes = materialize(prints.groupBy("fp").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys")), "sets-of")
+    keys = classes.select("fp", "size", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
+    members = materialize(keys.join(shared, "key"), "members")
+    wanted = classes.join(members.select("fp").distinct(), "fp").select("fp", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.mark")
+    texts = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted, ["id", "mark"]).dropDuplicates(["fp"])
+    sets = materialize(texts.select("fp", "text").mapInArrow(_set_batches, "fp long, words array<long>"), "sets")
+    roots = _near_roots(members, sets)
+    return materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: one with the smallest id, or of a group
+    """docs with one row of each group that Jaccard similarities of SIMILAR or more
+    of five-word shingles connect: one with the smallest id, or of a group
     without any id one of its rows; where an id repeats with several texts, the
     texts are told apart.  The join and the removal of repeated rows share one
     shuffle of docs."""
     own = "_" * max(map(len, docs.columns))  # in front of a name it makes one that docs doesn't have
-    one = _classes(docs)[1].groupBy("root").agg(F.min("first").alias("first"))
+    one = _near_classes(docs).groupBy("root").agg(F.min("first").alias("first"))
     keep = one.select(F.coalesce("first.doc_id", F.lit(0)).alias(own + "id"), F.col("first.mark").alias(own + "mark"))
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.withColumn(own + "id", F.coalesce(doc_id, F.lit(0))).withColumn(own + "mark", _mark(doc_id, F.col("text")))
