@@ -10,22 +10,23 @@ ones match, but start only where a run of their characters starts (or where the
 last match ended, \\G), and never backtrack, so that long runs cost linear time.
 
 Method.  Every valid base value is a protected entity c.  Terms (lower-cased
-words of four or more letters or digits, first a letter) within CONTEXT code
-points of an occurrence, not beyond the next match of the kind, co-occur with it.
-With N term occurrences in the corpus, n_t of term t, n_c occurrences of c and
-n_tc of c near t, the disclosure of c by t is PMI / IC(c) =
-log(N n_tc / (n_t n_c)) / log(N / n_c): 1 if t occurs beside c only.  Terms with a
-support n_tc of SUPPORT or more are generalised at a disclosure of GENERALISE and
-removed at REMOVE, within the context of that entity; documents without protected
-entities are left as they are.  Each entity occurrence gives a bounded number of
-terms, so counts are linear in the input; they cover the whole corpus, with
-map-side combining.  Only texts with entities, a small part, are ever shuffled.
+words of four or more letters or digits, first a letter) of a row that holds c
+co-occur with it, however far off.  With N rows in the corpus, n_t that hold term
+t, n_c that hold c and n_tc that hold both, the disclosure of c by t is
+PMI / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c): 1 if t occurs with c only.
+Terms with a support n_tc of SUPPORT or more are generalised at a disclosure of
+GENERALISE and removed at REMOVE, at every occurrence in each row that holds that
+entity; rows without protected entities are left as they are.  Each row counts its
+distinct terms and entities once.  Before the two are paired, entities and terms
+in fewer than SUPPORT rows go, and pairs in which the term is too frequent to
+reach GENERALISE even if it were in every row of the entity.  Only rows with
+entities, a small part, are ever shuffled.
 
 Cases: a null or empty text has no span (and stays as it is); very long texts
 with many matches use sums in two levels of blocks; repeated rows count and are
-returned each; rows with null ids have base spans and are masked, but no terms;
-rows that share an id share its terms; ties don't arise (spans are ordered by
-kind and start); an empty table gives an empty result; further columns of docs
+returned each; ids play no part, so rows with null or shared ids have their own
+terms; ties don't arise (spans are ordered by kind and start; a term that two
+entities give different actions is removed); an empty table gives an empty result; further columns of docs
 may have any name, those of sanitize() are kept.
 """
 
@@ -46,7 +47,6 @@ PATTERNS = {
 #: What a text must contain for the pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
-CONTEXT = 80
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.95
@@ -87,28 +87,25 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """Array of structs start, end, value, left, right: valid matches with their context."""
+    """Array of structs start, end, value: valid matches."""
     values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
     steps = F.zip_with(F.slice(gaps, 1, F.size(values)), F.concat(F.array(F.lit("")), values), lambda g, v: (F.length(g) + F.length(v)).cast("long"))
     starts = _running(F.slice(steps, 1, F.size(values)), lambda a, b: a + b)
-    cut_left = lambda g: F.when(F.length(g) > CONTEXT, F.regexp_replace(F.right(g, F.lit(CONTEXT)), r"^[^\x20\x09-\x0D]*", "")).otherwise(g)
-    cut_right = lambda g: F.when(F.length(g) > CONTEXT, F.regexp_replace(F.left(g, F.lit(CONTEXT)), r"[^\x20\x09-\x0D]*$", "")).otherwise(g)
     all_of = F.transform(
-        F.arrays_zip(starts.alias("s"), values.alias("v"), F.slice(gaps, 1, F.size(values)).alias("l"), F.slice(gaps, 2, F.size(values)).alias("r")),
-        lambda x: F.struct(
-            x["s"].alias("start"), (x["s"] + F.length(x["v"])).cast("long").alias("end"), x["v"].alias("value"), cut_left(x["l"]).alias("left"), cut_right(x["r"]).alias("right")
-        ),
+        F.arrays_zip(starts.alias("s"), values.alias("v")),
+        lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["v"])).cast("long").alias("end"), x["v"].alias("value")),
     )
     tried = text.contains(HINTS[kind]) if kind == "email" else text.rlike(HINTS[kind])
-    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string, left: string, right: string>>)")
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string>>)")
     return F.when(tried, F.filter(all_of, lambda x: _valid(kind, x["value"]))).otherwise(none)
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and a column of matches per kind."""
+    """The columns keep of docs, a column of matches per kind, and found_text: the text where there are any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*[F.col(c) for c in keep], *[_found(text, k).alias(f"found_{k}") for k in KINDS])
+    found = docs.select(*[F.col(c) for c in keep], *[_found(text, k).alias(f"found_{k}") for k in KINDS], text.alias("found_text"))
+    return found.withColumn("found_text", F.when(_any_found(), F.col("found_text")))
 
 
 def _spans(kind: str, a: Column) -> Column:
@@ -127,58 +124,57 @@ def _each(kind: str, f) -> Column:
     return F.transform(f"found_{kind}", lambda x: f(x, F.concat(F.lit(f"{kind}:"), x["value"])))
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """found in the shared folder, with a number per row."""
+    return materialize(found.withColumn("found_row", F.monotonically_increasing_id()), "pii")
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, disclosure, action) of terms that disclose an entity.
-    found: doc_id and the columns of find(); texts: all texts of the corpus."""
-    near = _contexts(found).groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
-    near = materialize(near, "near")
-    entities = found.select(F.explode(F.concat(*[_each(k, lambda x, name: name) for k in KINDS])).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    wanted = near.select("term").distinct()
-    many = wanted.count()
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("word"))
-    if many <= BROADCAST_TERMS:
-        counted = words.join(F.broadcast(wanted), F.col("word") == F.col("term"), "left").groupBy("term").agg(F.count("*").alias("n_t"))
+    found: the columns of find(); texts: all texts of the corpus."""
+    return _disclosing(_numbered(found), texts)[0]
+
+
+def _disclosing(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """disclosures() of numbered rows, and (found_row, entity, term) of the rows that hold such a pair."""
+    names = found.select("found_row", F.explode(F.array_distinct(F.concat(*[_each(k, lambda x, name: name) for k in KINDS]))).alias("entity"))
+    entities = materialize(names.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT), "entities")
+    held = materialize(names.join(entities, "entity"), "held")
+    words = found.join(held.select("found_row").distinct(), "found_row", "left_semi").select("found_row", F.explode(_terms(F.col("found_text"))).alias("term"))
+    wanted = materialize(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term"), "wanted")
+    every = texts.select(F.explode(_terms(F.col("text").cast("string"))).alias("term"))
+    if wanted.count() <= BROADCAST_TERMS:
+        counted = every.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
-        counted = words.groupBy("word").agg(F.count("*").alias("n")).join(wanted, F.col("word") == F.col("term"), "left").groupBy("term").agg(F.sum("n").alias("n_t"))
+        counted = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     counted = materialize(counted, "terms")
-    total = counted.agg(F.sum("n_t")).first()[0] or 0
-    ratio = 1 + F.log2(F.least(F.lit(1.0), F.col("n_tc") / F.col("n_t"))) / F.log2(F.greatest(F.lit(2.0), F.lit(float(total)) / F.col("n_c")))
-    scored = near.join(entities, "entity").join(counted.where("term is not null"), "term").select("entity", "term", ratio.alias("disclosure"))
-    return scored.where(F.col("disclosure") >= GENERALISE).withColumn("action", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise"))
-
-
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, term): one row per occurrence of an entity and distinct term in its context."""
-    near = lambda x, name: F.struct(name.alias("entity"), F.concat_ws(" ", x["left"], x["right"]).alias("near"))
-    one = found.select("doc_id", F.explode(F.concat(*[_each(k, near) for k in KINDS])).alias("x"))
-    return one.select("doc_id", F.col("x.entity").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x.near"), F.lit(TERM), F.lit(0)))).alias("term"))
-
-
-def _term_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
-    """found with found_term: the risky terms' occurrences in the contexts."""
-    own = (
-        _contexts(found.where("doc_id is not null")).distinct().join(risky.select("entity", "term", "action"), ["entity", "term"])
-        .groupBy("doc_id", "entity").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "action")))).alias("risky"))
-        .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "risky"))).alias("terms"))
-    )
-
-    def side(name, ctx, first):
-        """Spans of the risky terms in a context that starts at code point first."""
-        values, gaps = F.regexp_extract_all(ctx, F.lit(TERM), F.lit(0)), F.split(ctx, TERM, -1)
-        steps = F.zip_with(F.slice(gaps, 1, F.size(values)), F.concat(F.array(F.lit("")), values), lambda g, v: (F.length(g) + F.length(v)).cast("long"))
-        starts = _running(F.slice(steps, 1, F.size(values)), lambda a, b: a + b)
-        actions = F.try_element_at(F.col("terms"), name)
-        spans = F.transform(
-            F.arrays_zip(starts.alias("s"), values.alias("v")),
-            lambda y: F.struct((first + y["s"]).cast("long").alias("start"), (first + y["s"] + F.length(y["v"])).cast("long").alias("end"), F.try_element_at(actions, F.lower(y["v"])).alias("action")),
-        )
-        return F.filter(spans, lambda y: y["action"].isNotNull())
-
+    total = float(texts.count())
+    ratio = lambda n: 1 + F.log2(F.least(F.lit(1.0), F.col(n) / F.col("n_t"))) / F.log2(F.greatest(F.lit(2.0), F.lit(total) / F.col("n_c")))
+    pairs = materialize(held.join(words.join(counted, "term"), "found_row").where(ratio("n_c") >= GENERALISE), "near")
+    near = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
+    scored = near.select("entity", "term", ratio("n_tc").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    risky = materialize(scored.withColumn("action", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")), "risky")
+    return risky, pairs.select("found_row", "entity", "term")
+
+
+def _term_spans(found: DataFrame, risky: DataFrame, pairs: DataFrame) -> DataFrame:
+    """found with found_term: every occurrence of the terms that disclose an entity of the row."""
+    own = materialize(pairs.join(risky.select("entity", "term", "action"), ["entity", "term"]).groupBy("found_row", "term").agg(F.max("action").alias("action")), "own")
+    text = F.col("found_text")
+    values, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(values)), F.concat(F.array(F.lit("")), values), lambda g, v: (F.length(g) + F.length(v)).cast("long"))
+    starts = _running(F.slice(steps, 1, F.size(values)), lambda a, b: a + b)
+    rows = found.join(own.select("found_row").distinct(), "found_row", "left_semi")
+    each = rows.select("found_row", F.explode(F.arrays_zip(starts.alias("s"), values.alias("v"))).alias("y"))
+    each = each.select("found_row", F.lower("y.v").alias("term"), F.col("y.s").alias("start"), (F.col("y.s") + F.length("y.v")).cast("long").alias("end"))
+    spans = each.join(own, ["found_row", "term"]).groupBy("found_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("found_term"))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, action: string>>)")
-    sides = lambda x, name: F.concat(side(name, x["left"], x["start"] - F.length(x["left"])), side(name, x["right"], x["end"]))
-    found_terms = [F.flatten(_each(k, sides)) for k in KINDS]
-    spans = F.array_sort(F.array_distinct(F.concat(*found_terms)))
-    return found.join(own, "doc_id", "left").withColumn("found_term", F.when(F.col("terms").isNull(), none).otherwise(spans)).drop("terms")
+    return found.join(spans, "found_row", "left").withColumn("found_term", F.coalesce("found_term", none))
 
 
 def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,18 +182,16 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of docs, with all its columns and the columns of find()."""
     # Clashing names: docs' own columns go into one struct.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = materialize(find(packed, ["row", "doc_id"]).where(_any_found()), "pii")
-    risky = materialize(disclosures(some, docs), "risky")
-    return packed, _term_spans(some, risky)
+    some = _numbered(find(packed, ["row", "doc_id"]).where(_any_found()))
+    return packed, _term_spans(some, *_disclosing(some, docs))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Counts, base_sha256 and spans of every row."""
-    thin = materialize(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "pii")
+    thin = _numbered(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
     with_any = thin.where(_any_found())
-    risky = materialize(disclosures(with_any, docs), "risky")
     empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, action: string>>)")
-    full = thin.where(~_any_found()).withColumn("found_term", empty).unionByName(_term_spans(with_any, risky))
+    full = thin.where(~_any_found()).withColumn("found_term", empty).unionByName(_term_spans(with_any, *_disclosing(with_any, docs)))
     base = F.concat_ws(",", F.concat(*[_spans(k, F.col(f"found_{k}")) for k in KINDS]))
     every = F.concat_ws(",", F.concat(*[_spans(k, F.col(f"found_{k}")) for k in KINDS], _spans("term", F.col("found_term"))))
     return full.select("doc_id", *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))

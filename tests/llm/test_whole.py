@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from sparkloom.llm import simhash
+from sparkloom.llm import pii, simhash
 
 
 # near-duplicate stage
@@ -37,3 +37,17 @@ def test_a_bucket_of_unlike_members_is_settled(spark):
     members = spark.createDataFrame([(5, k, len(x)) for k, x in sets.items()], "key long, fp long, size long")
     roots = {r["node"]: r["root"] for r in simhash._near_roots(members, spark.createDataFrame(list(sets.items()), "fp long, words array<long>")).collect()}
     assert [roots.get(k, k) for k in range(12)] == [k % 4 for k in range(12)]
+
+
+# personal data
+def test_a_far_term_discloses_and_goes_everywhere(spark):
+    filler = "plain words follow here " * 20
+    docs = [(k if k % 2 else None, f"Zanzibar first. {filler}jo@x.org and kim@x.org {filler}then ZANZIBAR again and zanzibar") for k in range(4)]
+    docs += [(9, f"Zanzibar {filler}"), *((10 + k, filler) for k in range(60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["entity"], r["term"], r["action"]) for r in pii.disclosures(pii.find(df, ["doc_id"]).where(pii._any_found()), df).collect()}
+    assert got == {(f"email:{e}@x.org", t, a) for e in ("jo", "kim") for t, a in (("zanzibar", "generalise"), ("first", "remove"), ("again", "remove"), ("then", "remove"))}
+    texts = [r["text"] for r in pii.sanitize(df).collect()]
+    assert sorted(texts) == sorted([f"[TERM] . {filler}[EMAIL] and [EMAIL] {filler} [TERM]  and [TERM]"] * 4 + [t for _, t in docs[4:]])
+    spans = [r["spans"] for r in pii.digests(df).where("n_email > 0").collect()]
+    assert len(spans) == 4 and all(x.count("term:") == 6 for x in spans)
