@@ -4,8 +4,9 @@ A document's ids and one closing id 0 are cut into full windows and a tail.
 Pieces are dealt by a hash of (doc_id, start), sorted by decreasing length within
 each partition (Spark spills the sort) and streamed through a best-fit packer: a
 segment tree over remaining capacities 1..window finds the tightest open
-sequence in log2(window) steps.  The texts are never shuffled; a piece is five
-numbers.  Each partition leaves one loosely filled sequence or so behind.
+sequence in log2(window) steps.  The texts are never shuffled; a piece is its
+ids (little-endian, four bytes each) and four numbers.  sequences() puts the
+pieces of a window together and pads it.  Each partition leaves one loosely filled sequence or so behind.
 
 Cases: a null or empty text is the closing id alone; a text of any length is
 cut, its pieces may be dealt to different partitions; repeated rows are packed
@@ -105,15 +106,13 @@ def _encoder(vocabulary: str):
 
 def _piece_batches(window: int, vocabulary: str):
     def run(batches):
-        import zlib
-
         import numpy as np
         import pyarrow as pa
 
         encode = _encoder(vocabulary)
         closing = np.array([END], "<u4")
         for b in batches:
-            rows, start, length, crc, total = [], [], [], [], []
+            rows, start, length, raw, total = [], [], [], [], []
             for k, t in enumerate(b.column(1)):
                 ids = np.concatenate([encode(t.as_py() or ""), closing])
                 for at in range(0, len(ids), window):
@@ -121,10 +120,10 @@ def _piece_batches(window: int, vocabulary: str):
                     rows.append(k)
                     start.append(at)
                     length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
+                    raw.append(piece.tobytes())
                     total.append(len(ids))
-            columns = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            columns = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length)), pa.array(raw, pa.binary()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     return run
 
@@ -144,24 +143,50 @@ def _pack_batches(window: int):
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _piece_batches(window, vocabulary), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    """(doc_id, start, length, ids, doc_tokens): the pieces with their ids, and ids_crc32 of these."""
+    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _piece_batches(window, vocabulary), "doc_id long, start long, length long, ids binary, doc_tokens long"
     )
+    return cut.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
-    """A row per piece, with its sequence and its offset there."""
+    """A row per piece, with its ids, its sequence and its offset there."""
     cut = pieces(docs, window, vocabulary)
     dealt = cut.repartition("doc_id", "start").sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(_pack_batches(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(_pack_batches(window), "doc_id long, start long, length long, ids binary, doc_tokens long, ids_crc32 long, sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(sequence_id, length, ids) of every sequence: the ids of its pieces in order
+    of their offsets, padded with END to what fill() says, as an array."""
+    held = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held"))
+    padded = held.select("sequence_id", "length", _padded(F.col("length"), window).alias("padded"), F.aggregate("held", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
+    return padded.mapInArrow(_sequence_batches, "sequence_id long, length long, ids array<int>")
+
+
+def _sequence_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        ids = []
+        for raw, n in zip(b.column(3), b.column(2).to_pylist()):
+            own = np.frombuffer(raw.as_py(), "<u4").astype(np.int32)
+            ids.append(np.concatenate([own, np.full(n - len(own), END, np.int32)]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "length", "ids"])
+
+
+def _padded(ids, window: int):
+    return F.when(F.bit_count(ids) == 1, ids).otherwise(F.lit(window).cast("long"))
 
 
 def fill(packed: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per sequence: its ids, and its length with padding: a sequence that ends
     at a power of two stays as it is, any other is padded to the window."""
     used = packed.groupBy("sequence_id").agg(F.sum("length").alias("ids"))
-    return used.withColumn("padded", F.when(F.bit_count("ids") == 1, F.col("ids")).otherwise(F.lit(window).cast("long")))
+    return used.withColumn("padded", _padded(F.col("ids"), window))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

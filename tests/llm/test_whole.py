@@ -3,7 +3,9 @@
 import random
 from itertools import combinations
 
-from sparkloom.llm import pii, simhash
+from sparkloom.llm import packing, pii, simhash
+
+from .cases import odd
 
 
 # near-duplicate stage
@@ -51,3 +53,22 @@ def test_a_far_term_discloses_and_goes_everywhere(spark):
     assert sorted(texts) == sorted([f"[TERM] . {filler}[EMAIL] and [EMAIL] {filler} [TERM]  and [TERM]"] * 4 + [t for _, t in docs[4:]])
     spans = [r["spans"] for r in pii.digests(df).where("n_email > 0").collect()]
     assert len(spans) == 4 and all(x.count("term:") == 6 for x in spans)
+
+
+# packing
+def test_sequences_hold_the_ids_of_every_document(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = odd(spark).distinct()
+    packed = packing.pack(docs).cache()
+    whole, lengths = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}, {r["sequence_id"]: r for r in packing.fill(packed).collect()}
+    assert set(whole) == set(lengths) and all(len(r["ids"]) == lengths[k]["padded"] and r["length"] == lengths[k]["ids"] and not any(r["ids"][r["length"] :]) for k, r in whole.items())
+    got = {}
+    for r in packed.orderBy("start").collect():
+        ids = whole[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids
+        got.setdefault(r["doc_id"], []).extend(ids)
+    assert got == {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
