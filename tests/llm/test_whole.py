@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from sparkloom.llm import packing, pii, simhash
+from sparkloom.llm import packing, pieces, pii, simhash
 
 from .cases import odd
 
@@ -72,3 +72,25 @@ def test_sequences_hold_the_ids_of_every_document(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids
         got.setdefault(r["doc_id"], []).extend(ids)
     assert got == {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+
+
+# pieces
+def test_encoding_gives_the_segmentations(spark):
+    import numpy as np
+    import public_tokenizers
+
+    p = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    texts = ["the rain in spain", "a b", "漢 é\n the theory", "x", "", None, "the rain " * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pieces.encode(rows).cache()
+    for r in got.collect():
+        text, paths = texts[r["doc_id"]] or "", [(x["score"], tuple(np.frombuffer(x["ids"], "<u4").tolist())) for x in r["paths"]]
+        want = pieces.search(p.edges("▁" + text.replace(" ", "▁")), 4) if text else [(0.0, ())]
+        assert np.allclose([s for s, _ in paths], [s for s, _ in want], rtol=1e-12) and len({x for _, x in paths}) == len(paths)
+        piece = {i: s for i, s in p.score.values()}
+        for s, ids in paths:
+            unknown = len({b for b in p.byte.values()} & set(ids)) and "漢" in text
+            assert p.decode(ids) == text and (unknown or np.isclose(sum(piece[i] for i in ids), s))
+    for rank in (0, 1):
+        back = {r["doc_id"]: r["text"] for r in pieces.decode(got, rank=rank).collect()}
+        assert back == {k: (t or "") if rank == 0 or len(t or "") > 1 else back[k] for k, t in enumerate(texts)}
