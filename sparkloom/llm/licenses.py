@@ -5,7 +5,9 @@ such segment is normalised (ASCII lower case, words of letters and digits) and
 its set of word bigrams compared with each template's: 2 |A & B| / (|A| + |B|).
 A Dice of t needs sizes within t / (2 - t) of each other, so templates of other
 sizes are pruned before any bigram is made.  One pass without a shuffle; the
-templates are a constant of the code.
+templates are a constant of the code.  That is what the SQL of op8_licenses asks for;
+find_licenses() also slides a window of each template's size over the words and
+returns every licence with its span.
 
 Cases: a null or empty text, or one without bigrams, has no hit; a tie goes to
 the licence that is first in alphabetical order; a segment that occurs again
@@ -15,6 +17,10 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +93,78 @@ def scan(text: str | None, templates, threshold: float) -> tuple[int, str | None
     return hits, best[1], best[0] if hits else None
 
 
+def notices(text: str | None, templates, threshold: float) -> list[tuple[str, int, int, float]]:
+    """(licence, start, end, Dice) of every match in windows of each template's
+    size, in code points; of overlapping windows of a template the best stays.
+    templates: (name, bigrams, number of words)."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    keep = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+    flat = raw.lower().translate(keep)
+    words = flat.split()
+    pairs = list(zip(words, words[1:]))
+    all_of, ends, out = set(pairs), None, []
+    for name, grams, size in templates:
+        # a Dice of t with i shared of w and g bigrams needs i <= w, so i >= t g / (2 - t)
+        if len(all_of & grams) < threshold / (2 - threshold) * len(grams):
+            continue
+        width = min(size - 1, len(pairs))
+        seen: dict = {}
+        shared, found = 0, []
+        for k, x in enumerate(pairs):
+            seen[x] = seen.get(x, 0) + 1
+            shared += seen[x] == 1 and x in grams
+            if k >= width:
+                y = pairs[k - width]
+                seen[y] -= 1
+                if not seen[y]:
+                    del seen[y]
+                    shared -= y in grams
+            if k >= width - 1:
+                dice = 2 * shared / (len(seen) + len(grams))
+                if dice >= threshold:
+                    found.append((-dice, k - width + 1))
+        taken: list[int] = []
+        for minus, at in sorted(found):
+            near = bisect(taken, at)
+            if (near and at - taken[near - 1] <= width) or (near < len(taken) and taken[near] - at <= width):
+                continue
+            taken.insert(near, at)
+            if ends is None:
+                ends = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
+            start, end = ends[at][0], ends[at + width][1]
+            first = len(raw[:start].decode("utf-8", "surrogatepass"))
+            out.append((name, first, first + len(raw[start:end].decode("utf-8", "surrogatepass")), -minus))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def _notice_batches(templates: dict[str, str], threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [(name, words_of(t.encode())) for name, t in sorted(templates.items())]
+        sets = [(name, bigrams(w), len(w)) for name, w in parts]
+        kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())]))
+        for b in batches:
+            rows = [[dict(zip(("license", "start", "end", "dice"), x)) for x in notices(t.as_py(), sets, threshold)] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "matches"])
+
+    return run
+
+
+def full_texts() -> dict[str, str]:
+    """Licence texts in full, from the files beside this module."""
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, matches) of every row: every licence found in word windows, with its
+    span and Dice; TEMPLATES and full_texts() unless others are given."""
+    templates = templates or TEMPLATES | full_texts()
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _notice_batches(templates, threshold), "doc_id long, matches array<struct<license: string, start: bigint, end: bigint, dice: double>>"
+    )
+
+
 def _scan_batches(templates: dict[str, str], threshold: float):
     def run(batches):
         import pyarrow as pa
@@ -111,6 +189,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
 
 
+def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 _VALUES = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 OP8_SQL = f"""
 WITH low(c) AS (SELECT 'abcdefghijklmnopqrstuvwxyz'), d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

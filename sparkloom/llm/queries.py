@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_neighbours": ann.op7_neighbours,
     "op8_licenses": licenses.op8_licenses,
+    "op8_spans": licenses.op8_spans,
     "op9_packing": packing.op9_packing,
     "op10_rules": rules.op10_rules,
 }

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from sparkloom.llm import packing, pieces, pii, simhash
+from sparkloom.llm import licenses, packing, pieces, pii, simhash
 
 from .cases import odd
 
@@ -94,3 +94,20 @@ def test_encoding_gives_the_segmentations(spark):
     for rank in (0, 1):
         back = {r["doc_id"]: r["text"] for r in pieces.decode(got, rank=rank).collect()}
         assert back == {k: (t or "") if rank == 0 or len(t or "") > 1 else back[k] for k, t in enumerate(texts)}
+
+
+# licences
+def test_licences_within_a_paragraph_and_several_of_them(spark):
+    mit = "Released under the MIT License."
+    text = f"Ünder any machine. {mit} See the site, é. Licensed under CC BY 4.0. And again: {licenses.TEMPLATES['ISC']} {mit} end"
+    got = {r["doc_id"]: r["matches"] for r in licenses.find_licenses(spark.createDataFrame([(1, text), (2, None), (3, "no notice")], "doc_id long, text string")).collect()}
+    found = [(m["license"], text[m["start"] : m["end"]], m["dice"]) for m in got[1]]
+    want = [("MIT", mit[:-1], 1.0), ("CC-BY-4.0", "Licensed under CC BY 4.0", 1.0), ("ISC", licenses.TEMPLATES["ISC"][:-1], 1.0), ("MIT", mit[:-1], 1.0)]
+    assert [x for x in found if x[2] == 1.0] == want and got[2] == got[3] == []
+
+
+def test_full_licence_texts(spark):
+    full = licenses.full_texts()
+    docs = [(k, f"before it {t} after it") for k, t in enumerate(full.values())]
+    got = {r["doc_id"]: {m["license"]: m["dice"] for m in r["matches"]} for r in licenses.find_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(full) == 8 and all(got[k][name] == 1.0 for k, name in enumerate(full))
