@@ -18,9 +18,10 @@ a block, however often it occurs.  Reducers add the entries up and answer each
 block with the corpus counts of its keys, in its order, without the keys.  The
 answers are a table in the shared folder too, and the blocks' token numbers
 meet them grouped by block, where every document is scored.  Both the number of
-buckets and that of blocks follow the size of the texts.  A block is known by a hash
-of its contents; equal blocks have equal answers.  Two n-grams are one if their
-64-bit hashes agree.
+buckets and that of blocks follow the size of the texts, and so does the number of
+partitions that blocks are dealt to.  A block has a random 128-bit name, given once,
+before it is written, so blocks of equal contents stay apart.  Two n-grams are one if
+their 64-bit hashes agree.
 
 Cases: a null or empty text is the end token alone; long texts are one block; rows
 with a null id are scored and used for training; repeated rows count each; without
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from ._common import fold, materialize, table
 
 BLOCK_TOKENS = 1_500_000
+BLOCKS_A_TASK = 2
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
 HELD_OUT, TEST_OF = 1, 5
@@ -91,22 +93,23 @@ class Block:
     in the sorted array of the block's unigram keys."""
 
     def __init__(self, docs: list, numbers: list, vocabulary: dict, seen: list, dev: bool):
+        import uuid
+
         import numpy as np
         import xxhash
 
-        self.docs, self.dev, self.bytes = docs, dev, seen[2]  # docs: (doc_id, fold, tokens)
+        self.docs, self.dev, self.bytes = docs, dev, seen[1]  # docs: (doc_id, fold, tokens)
         self.lengths = np.array([d[2] for d in docs], np.int64)
         keys = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in vocabulary), np.uint64, len(vocabulary))
         order = np.argsort(keys)
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         self.unigrams, self.tokens = keys[order], place[np.concatenate(numbers)]
-        self.block = xxhash.xxh64_intdigest(repr((dev, seen[1], [d[0] for d in docs])).encode(), 2) >> 1
+        self.block = uuid.uuid4().hex
 
 
 def _blocks(batches):
     """Blocks of (doc_id, fold5, fold50, text) rows; dev documents get blocks of their own."""
-    import zlib
     from itertools import count
 
     import numpy as np
@@ -119,7 +122,7 @@ def _blocks(batches):
             self[w] = n = next(self.next)
             return n
 
-    new = lambda: ([], [], Numbers(), [0, 0, 0])  # tokens, check sum and bytes so far
+    new = lambda: ([], [], Numbers(), [0, 0])  # tokens and bytes so far
     kept = {False: new(), True: new()}
     for b in batches:
         for doc_id, five, fifty, text in zip(*(b.column(k) for k in range(4))):
@@ -131,8 +134,7 @@ def _blocks(batches):
             numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
             docs.append((doc_id.as_py(), five.as_py(), len(words)))
             seen[0] += len(words)
-            seen[1] = zlib.crc32(raw, seen[1])
-            seen[2] += len(raw)
+            seen[1] += len(raw)
             if seen[0] >= BLOCK_TOKENS:
                 yield Block(docs, numbers, vocabulary, seen, dev)
                 kept[dev] = new()
@@ -170,7 +172,7 @@ def _key_batches(shift: int):
                 for a, b in zip(edges, [*edges[1:], len(keys)]):
                     rows.append((order, int(bucket[a]), block["block"], block["dev"], int(b - a), _squeeze_sorted(keys[a:b]), _squeeze(counts[a:b])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))],
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))],
                 names=["order", "bucket", "block", "dev", "n", "keys", "counts"],
             )
 
@@ -193,7 +195,7 @@ def _add_up(key, part):
         at += n
         out.append((key[0], key[1], block, dev, n, _squeeze(total[mine]), _squeeze(deleted[mine]) if dev else None, 0, 0, 0))
     if key[0] == 1:
-        out.append((1, key[1], -1, False, 0, None, None, int((total > 0).sum()), int(total.sum()), int(deleted.sum())))
+        out.append((1, key[1], None, False, 0, None, None, int((total > 0).sum()), int(total.sum()), int(deleted.sum())))
     return pd.DataFrame(out, columns=["order", "bucket", "block", "dev", "n", "total", "deleted", "v", "tokens", "dev_tokens"])
 
 
@@ -212,7 +214,7 @@ def _token_batches(batches):
         )
 
 
-TOKENS = "block long, dev boolean, bytes long, doc_ids array<long>, folds array<int>, lengths array<long>, n int, unigrams binary, tokens binary"
+TOKENS = "block string, dev boolean, bytes long, doc_ids array<long>, folds array<int>, lengths array<long>, n int, unigrams binary, tokens binary"
 
 
 def _stored(row):
@@ -228,7 +230,7 @@ def _events(row, answers, deleted: bool):
     import numpy as np
 
     lengths, unigrams, tokens = _stored(row)
-    answers = answers.drop_duplicates(["order", "bucket"]).sort_values(["order", "bucket"])
+    answers = answers.sort_values(["order", "bucket"])
     values = {}
     for order, part in answers.groupby("order"):
         got = np.concatenate([_expand(t, "<i8", n) for t, n in zip(part["total"], part["n"])])
@@ -342,16 +344,18 @@ def score(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     blocks = materialize(rows.mapInArrow(_token_batches, TOKENS), "blocks")
-    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    size, n_blocks = blocks.agg(F.sum("bytes"), F.count("*")).first()
+    size, parts = size or 0, -(-n_blocks // BLOCKS_A_TASK) or 1
     bits = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES) - 1).bit_length()
-    sent = blocks.mapInArrow(_key_batches(64 - bits), "order int, bucket int, block long, dev boolean, n int, keys binary, counts binary")
+    sent = blocks.mapInArrow(_key_batches(64 - bits), "order int, bucket int, block string, dev boolean, n int, keys binary, counts binary")
     answers = sent.groupBy("order", "bucket").applyInPandas(
-        _add_up, "order int, bucket int, block long, dev boolean, n int, total binary, deleted binary, v long, tokens long, dev_tokens long"
+        _add_up, "order int, bucket int, block string, dev boolean, n int, total binary, deleted binary, v long, tokens long, dev_tokens long"
     )
     answers = materialize(answers, "counts")
-    types, total, dev = (int(x or 0) for x in answers.where("block = -1").agg(F.sum("v"), F.sum("tokens"), F.sum("dev_tokens")).first())
-    found = answers.where("block <> -1")
-    cogrouped = lambda b, a: b.drop("dev", "bytes").groupBy("block").cogroup(a.groupBy("block"))
+    types, total, dev = (int(x or 0) for x in answers.where("block is null").agg(F.sum("v"), F.sum("tokens"), F.sum("dev_tokens")).first())
+    found = answers.where("block is not null")
+    dealt = lambda df: df.repartition(parts, "block").groupBy("block")
+    cogrouped = lambda b, a: dealt(b.drop("dev", "bytes")).cogroup(dealt(a))
     dev_answers = found.where("dev").select("block", "order", "bucket", "n", "total", "deleted")
     cells = cogrouped(blocks.where("dev"), dev_answers).applyInPandas(_grid_events(total - dev), "level long, b2 long, b1 long, n long")
     events = cells.groupBy("level", "b2", "b1").agg(F.sum("n").alias("n")).collect()  # at most LEVELS x (some 30 GRID)^2 cells
