@@ -11,10 +11,11 @@ pieces of a window together and pads it.  Each partition leaves one loosely fill
 Cases: a null or empty text is the closing id alone; a text of any length is
 cut, its pieces may be dealt to different partitions; repeated rows are packed
 each; null ids are packed like any other; an empty table gives no piece; further
-columns of docs are ignored; strings of special tokens within a text are ordinary
-text.  Ids are those of the tokenizers library for byte_bpe_50k.json; they are
-made with the same vocabulary's rank file in tiktoken, which is some ten times
-as fast, or with tokenizers where tiktoken gives up on a text.
+columns of docs are ignored; the string of the vocabulary's added token within a
+text is that token, as in the tokenizers library.  Ids are those of that library for
+byte_bpe_50k.json, add_special_tokens=False; they are made with the same vocabulary's
+rank file and added token in tiktoken, which is some ten times as fast, or with
+tokenizers where tiktoken gives up on a text.
 """
 
 from __future__ import annotations
@@ -78,6 +79,7 @@ class BestFit:
 
 def _encoder(vocabulary: str):
     import base64
+    import json
 
     import numpy as np
     import public_tokenizers
@@ -85,12 +87,14 @@ def _encoder(vocabulary: str):
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json")) as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     slow = []
 
     def encode(text: str):
         try:
-            return np.array(fast.encode_ordinary(text), "<u4")
+            return np.array(fast.encode(text, allowed_special="all"), "<u4")
         except BaseException as e:  # the Rust side reports a regex that gave up as a panic
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
@@ -98,7 +102,6 @@ def _encoder(vocabulary: str):
             from tokenizers import Tokenizer
 
             slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-            slow[0].encode_special_tokens = True
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
