@@ -8,14 +8,17 @@ N-grams are lower-cased words, and runs of one to three word shapes (letters,
 capitals, digits and punctuation, repeats squeezed; a word equal to the one
 before it has a shape of its own).  Both are hashed into 2**BITS weights, so the
 broadcast model has a fixed size.  The model is fitted on at most FIT_ROWS
-labelled rows, those with the smallest hash of their id: that is the documented
-bound; scoring covers whole texts of all rows.
+labelled documents, those with the smallest hash of their id, a row of each, and of
+them on as many as have FIT_FEATURES features together, in that order: these are the
+documented bounds, of what reaches the driver too; scoring covers whole texts of all
+rows.
 
 Cases: a null or empty text has the constant feature only and is scored by it; a
 very long text costs time in proportion to its words and memory to its distinct
 words; repeated rows are scored each; a null id is scored and counts as not held
 out, its label is never used; a document labelled twice counts once, with the
-smaller label; labels other than 0 and 1, and null ones, are ignored; without
+smaller label; of several rows with one labelled id that with the smallest hash of
+its text is learnt from; labels other than 0 and 1, and null ones, are ignored; without
 labels of both classes every score is the share of label 1 (0.5 without labels);
 an empty table gives an empty result; further columns of either table are ignored.
 """
@@ -29,6 +32,7 @@ from ._common import fold, table
 
 BITS = 20
 FIT_ROWS = 6000
+FIT_FEATURES = 10_000_000
 ALPHA = 0.5
 C = 1.0
 BLEND = 0.9
@@ -60,20 +64,20 @@ def features(text: str | None):
     return out
 
 
-def _hinge(rows, y, ratio, seed: int):
-    """Dual coordinate descent for the squared hinge loss over ratio-scaled indicators."""
+def _hinge(rows, y, ratio, seed: int, epochs: int = EPOCHS):
+    """Dual coordinate descent for the linear hinge loss over ratio-scaled indicators:
+    minimises |w|^2 / 2 + sum of c_i max(0, 1 - y_i w x_i), where both classes weigh
+    the same, c_i = C / (2 x share of the class).  Dual variables stay in [0, c_i]."""
     import numpy as np
 
     w, a, rng = np.zeros(1 << BITS), np.zeros(len(rows)), np.random.default_rng(seed)
     scaled = [ratio[r] for r in rows]
-    share = np.array([(y > 0).mean(), (y < 0).mean()])
-    diag = np.where(y > 0, share[0], share[1]) / C  # each class weighs the same
-    norm = np.array([s @ s for s in scaled]) + diag
-    for _ in range(EPOCHS):
+    most = C / (2 * np.where(y > 0, (y > 0).mean(), (y < 0).mean()))
+    norm = np.array([s @ s for s in scaled])
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             r, s = rows[i], scaled[i]
-            step = y[i] * (w[r] @ s) - 1 + diag[i] * a[i]
-            new = max(0.0, a[i] - step / norm[i])
+            new = min(most[i], max(0.0, a[i] - (y[i] * (w[r] @ s) - 1) / norm[i]))
             if new != a[i]:
                 w[r] += (new - a[i]) * y[i] * s
                 a[i] = new
@@ -126,18 +130,36 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     usable = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # fit_rows rows of two numbers at most: its broadcast has a fixed bound
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    one = texts.select("doc_id", "quality", "text").mapInArrow(_tagged, "doc_id long, quality int, features array<int>")
-    got = sorted(one.toLocalIterator(), key=lambda r: (r["doc_id"], len(r["features"]), r["features"][-1]))
+    held = texts.select("doc_id", "quality", F.xxhash64("text").alias("mark"), "text").mapInArrow(_featured, "doc_id long, quality int, mark long, features binary")
+    one = held.groupBy("doc_id").agg(F.min(F.struct("mark", "quality", "features")).alias("r"))  # a row per document, combined before the shuffle
+    rows, labels, room = [], [], FIT_FEATURES
+    for r in one.select("doc_id", "r.quality", "r.features").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        own = _unpacked(r["features"])
+        room -= len(own)
+        if room < 0:
+            break
+        rows.append(own)
+        labels.append(r["quality"])
+    return fit(rows, labels)
+
+
+def _unpacked(packed: bytes):
+    import zlib
+
     import numpy as np
 
-    return fit([np.array(r["features"], np.int32) for r in got], [r["quality"] for r in got])
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int32), dtype=np.int32)
+
 
+def _featured(batches):
+    import zlib
 
-def _tagged(batches):
+    import numpy as np
     import pyarrow as pa
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))], names=["doc_id", "quality", "features"])
+        packed = [zlib.compress(np.diff(features(t.as_py()), prepend=np.int32(0)).tobytes(), 1) for t in b.column(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "quality", "mark", "features"])
 
 
 def probability(model, text: str | None) -> float:
