@@ -16,7 +16,8 @@ with the smallest page_id is written as response, the others as revisit records
 with no payload, which refer to it.
 
 Cases: null or empty html is an empty payload, and like any other deduplicated;
-long payloads are held one at a time; rows that repeat a page_id are records
+long payloads are held one at a time; an archive that is cut off, in a header, a
+payload or a gzip member, is an error, also where that record is skipped; rows that repeat a page_id are records
 each, of rows with the smallest page_id in common all are responses; a null
 page_id makes a record without an id, never the target of a revisit unless no row
 of its payload has one (then all are responses); an empty table gives no archive
@@ -25,11 +26,9 @@ and an empty result; further columns are ignored, a null url is an empty target.
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
@@ -72,7 +71,7 @@ class _Plain:
     """Bytes of an uncompressed archive."""
 
     def __init__(self, f):
-        self.f, self.buffer = f, b""
+        self.f, self.buffer = f, bytearray()
 
     def fill(self) -> bool:
         more = self.f.read(STEP)
@@ -80,27 +79,35 @@ class _Plain:
         return bool(more)
 
     def until(self, mark: bytes) -> bytes | None:
+        """What stands before the mark; None at the end of the archive."""
         at = 0
         while (end := self.buffer.find(mark, at)) < 0:
             at = max(0, len(self.buffer) - len(mark))
             if not self.fill():
+                if self.buffer.strip():
+                    raise EOFError("the archive ends within a record")
                 return None
-        out, self.buffer = self.buffer[:end], self.buffer[end + len(mark) :]
+        out = bytes(self.buffer[:end])
+        del self.buffer[: end + len(mark)]
         return out
 
     def take(self, n: int) -> bytes:
         while len(self.buffer) < n:
             if not self.fill():
                 raise EOFError("the archive ends within a record")
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        with memoryview(self.buffer) as view:
+            out = bytes(view[:n])
+        del self.buffer[:n]
         return out
 
     def skip(self, n: int) -> None:
-        if n <= len(self.buffer):
-            self.buffer = self.buffer[n:]
-        else:
-            self.f.seek(n - len(self.buffer), 1)
-            self.buffer = b""
+        ahead = n - len(self.buffer)
+        if ahead > 0:
+            self.buffer.clear()
+            if ahead > 1:
+                self.f.seek(ahead - 1, 1)
+            n = 1  # the last byte is read, which shows that it is there
+        self.take(n)
 
 
 class _Gzip(_Plain):
@@ -108,16 +115,19 @@ class _Gzip(_Plain):
 
     def __init__(self, f):
         super().__init__(f)
-        self.raw, self.member = b"", zlib.decompressobj(31)
+        self.raw, self.member, self.within = b"", zlib.decompressobj(31), False
 
     def fill(self) -> bool:
         while True:
             if self.member.eof:
-                self.raw, self.member = self.member.unused_data or self.raw, zlib.decompressobj(31)
+                self.raw, self.member, self.within = self.member.unused_data or self.raw, zlib.decompressobj(31), False
             if not self.raw and not (raw := self.f.read(STEP)):
+                if self.within:
+                    raise EOFError("the archive ends within a gzip member")
                 return False
             elif not self.raw:
                 self.raw = raw
+            self.within = True
             out = self.member.decompress(self.raw, STEP)
             self.raw = b"" if self.member.eof else self.member.unconsumed_tail
             if out:
@@ -127,10 +137,10 @@ class _Gzip(_Plain):
     def skip(self, n: int) -> None:
         while n > len(self.buffer):
             n -= len(self.buffer)
-            self.buffer = b""
+            self.buffer.clear()
             if not self.fill():
                 raise EOFError("the archive ends within a record")
-        self.buffer = self.buffer[n:]
+        del self.buffer[:n]
 
 
 def records(f, gzipped: bool, wanted: dict[str, set], with_payload: bool):
@@ -289,20 +299,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def digest(payload: bytes) -> str:
-    """Bare upper-case base32 of SHA-1."""
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
-
-
-def _digest_batches(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        payloads = [x.as_py() or b"" for x in b.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(payloads, pa.binary()), pa.array(map(digest, payloads), pa.string()), pa.array(map(len, payloads), pa.int64())],
-            names=["page_id", "url", "payload", "payload_digest", "payload_bytes"],
-        )
+def digest(payload: Column) -> Column:
+    """Bare upper-case base32 of SHA-1: eight times 20 bits, four digits each."""
+    hexes = F.sha1(payload)
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hexes, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)])
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -310,13 +311,15 @@ def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     by digest and length; only those two and the id are shuffled to find the
     response of each group, with map-side minima, and the join back is to a side
     unique on the key, so that a common payload is split by AQE."""
-    asked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("payload"))
-    hashed = asked.mapInArrow(_digest_batches, "page_id long, url string, payload binary, payload_digest string, payload_bytes long")
+    payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
+    asked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    hashed = asked.withColumns({"payload_digest": digest(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
     key = ["payload_digest", "payload_bytes"]
     first = hashed.select(*key, "page_id").where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return hashed.join(first, key, "left").select(
+    # a hash join: payloads are dealt by their digest, but not sorted; a partition of first is small
+    return hashed.join(first.hint("shuffle_hash"), key, "left").select(
         F.coalesce(urn("page_id"), F.lit("urn:page:")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
         F.when(again, urn("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"),
     )
