@@ -13,7 +13,8 @@ can gather no more than 65 + 992 distinct fingerprints.
 drop_near_duplicates has its own rule, five-word shingles with a Jaccard
 similarity of SIMILAR or more: candidates agree in one of BANDS bands of ROWS
 minhashes (at similarity 0.8 all but 7 in 100,000 pairs do), and each is checked
-on the shingle sets before it links.
+on the shingle sets before it links.  Buckets are settled by hubs, and what hubs
+leave open by prefix filtering, so that no bucket is expanded into its pairs.
 
 Before that, fingerprints that can't have a partner are set aside: cut into
 seven parts, two words at distance 3 or less agree in four of them at least; a
@@ -29,9 +30,10 @@ rows); an empty table gives an empty result; further columns of docs are ignored
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import components, materialize, table
@@ -40,8 +42,9 @@ SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
 NEAR_SHINGLE = 5
-SIMILAR = 0.8
+SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
 BANDS, ROWS = 24, 5
+SIZE_STEP = 1.02  # sizes of sets within this factor share a bin
 STARS = 2
 HALVES = (range(0, 32), range(32, 64))
 PARTS = tuple(range(64 * k // 7, 64 * (k + 1) // 7) for k in range(7))
@@ -105,8 +108,6 @@ def links(fps: DataFrame) -> DataFrame:
     close = materialize(keyed.join(shared, ["part", "key"]).select("fp").distinct(), "close")
     near = close.select("fp", F.explode(F.array(*[F.lit(m) for m in NEAR])).alias("flip"), F.lit(True).alias("near"))
     far = close.where(F.bit_count("fp") % 2 == 1).select("fp", F.explode(F.array(*[F.lit(m) for m in FAR])).alias("flip"), F.lit(False).alias("near"))
-    from pyspark.sql import Window
-
     met = near.union(far).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "near")
     star = met.withColumn("hub", F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("point")))
     return star.where("hub is not null and hub <> fp").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
@@ -176,32 +177,76 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
     a, b = sets.select(F.col("fp").alias("u"), F.col("words").alias("a")), sets.select(F.col("fp").alias("v"), F.col("words").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(both * SIMILAR[1] >= SIMILAR[0] * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _hub_pairs(rest: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's hub of round k with its other members, and the buckets without it.
+    The first hub is the member that meets most others over all its buckets, which of a
+    group of near copies is close to what they are copies of; the next one is any."""
+    hub = rest.groupBy("key").agg(F.max(F.struct("weight" if k == 0 else F.xxhash64("fp"), "fp", "size", "root")).alias("hub"))
+    met = rest.join(hub, "key")
+    pairs = met.where((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("size"), F.col("hub.size")))
+    pairs = pairs.select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v")).distinct()
+    return pairs, met.where("fp <> hub.fp").select("key", "fp", "size", "weight")
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    """Set sizes that allow a Jaccard similarity of SIMILAR."""
+    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of members of rest (fp, size, root) in different components that can
+    have a Jaccard similarity t of SIMILAR: prefix filtering.
+
+    Shingles are ordered: those held within one component first, the others by ascending
+    frequency.  Sets of n and m shingles need an overlap a of t / (1 + t) (n + m), so the
+    first shingle in this order that they share is among the first n - a + 1 and m - a + 1
+    of them, and no more than a - 1 follow it in either.  Members say for which sizes of a
+    smaller partner, in bins, they send a shingle, so that those that lie too far from all
+    others of their size send none: a large group of them makes no pairs."""
+    up, both = SIMILAR[0], sum(SIMILAR)
+    bin_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    needed = lambda n, m: F.ceil((up * (n + m)).cast("double") / both)
+    tokens = sets.join(rest, "fp").select("fp", "size", "root", F.explode("words").alias("token"))
+    open_ = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    own = tokens.join(open_, "token").groupBy("fp", "size", "root").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    own = own.withColumn("closed", F.col("size") - F.size("rare")).withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1])))
+    own = materialize(own, "rare")
+    emitted = lambda m: F.slice("rare", 1, F.greatest(F.lit(0), F.col("size") - needed(F.col("size"), m) + 1 - F.col("closed")).cast("int"))
+    rank = (F.col("closed") + F.col("at")).alias("rank")
+    small = own.select("fp", "size", "root", "closed", F.posexplode(emitted(F.col("size"))).alias("at", "x"))
+    small = small.select(F.col("x.token").alias("token"), bin_of(F.col("size")).alias("bin"), F.col("fp").alias("v"), F.col("size").alias("other"), F.col("root").alias("its"), rank.alias("its_rank"))
+    bins = own.select("*", F.explode(F.sequence(bin_of(F.col("least")), bin_of(F.col("size")))).alias("bin"))
+    low = F.greatest(F.col("least"), F.floor(F.pow(F.lit(SIZE_STEP), F.col("bin").cast("double"))))
+    large = bins.select("fp", "size", "root", "closed", "bin", F.posexplode(emitted(low)).alias("at", "x")).select("fp", "size", "root", "bin", F.col("x.token").alias("token"), rank)
+    smaller = (F.col("other") < F.col("size")) | ((F.col("other") == F.col("size")) & (F.col("v") < F.col("fp")))
+    enough = F.least(F.col("size") - F.col("rank"), F.col("other") - F.col("its_rank")) >= needed(F.col("size"), F.col("other"))
+    near = (large.token == small.token) & (large.bin == small.bin) & smaller & (F.col("root") != F.col("its")) & enough
+    return large.join(small, near).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct()
 
 
 def _near_roots(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of the components that the similar pairs of members (key, fp,
-    size) make; a pair is compared if it shares a key.  Rounds compare each bucket's
-    first member with the others and take it out; then whatever is left in different
-    components is compared pair by pair, so that a bucket of near copies never
-    becomes a square, and no pair that could join two components is left out."""
-    edges, rest = None, members.withColumn("root", F.col("fp"))
-    fits = F.least("size", "other") >= SIMILAR * F.greatest("size", "other")  # a Jaccard of SIMILAR needs that
+    size) make.  STARS rounds compare each bucket's hub with the others and take it
+    out, which settles groups of near copies without their pairs; the members that
+    are then left in buckets of several components are compared by prefix filtering,
+    which no pair of theirs escapes."""
+    of_key = members.groupBy("key").agg(F.count("*").alias("n"))
+    weights = members.join(of_key, "key").groupBy("fp").agg(F.sum("n").alias("weight"))
+    edges, rest = None, materialize(members.join(weights, "fp").withColumn("root", F.col("fp")), "weighted")
     for k in range(STARS + 1):
         if k < STARS:
-            hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "size", "root")).alias("hub"))
-            met = rest.join(hub, "key").select("fp", "size", "root", F.col("hub.fp").alias("v"), F.col("hub.size").alias("other"), F.col("hub.root").alias("its"))
-            rest = rest.join(hub, "key").where("fp <> hub.fp").select("key", "fp", "size")
+            pairs, rest = _hub_pairs(rest, k)
         else:
-            one = rest.select("key", F.col("fp").alias("v"), F.col("size").alias("other"), F.col("root").alias("its"))
-            met = rest.join(one, "key").where("fp < v")
-        pairs = met.where((F.col("root") != F.col("its")) & fits).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct()
+            pairs = _prefix_pairs(rest.select("fp", "size", "root").distinct(), sets)
         new = materialize(_similar(materialize(pairs, "pairs"), sets), "similar")
         edges = new if edges is None else edges.union(new)
         roots = materialize(components(edges), "roots")
         if k < STARS:
             of = roots.select(F.col("node").alias("fp"), "root")
-            rest = rest.join(of, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+            rest = rest.join(of, "fp", "left").select("key", "fp", "size", "weight", F.coalesce("root", "fp").alias("root"))
             open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             rest = materialize(rest.join(open_, "key"), "rest")
             if rest.isEmpty():
