@@ -15,8 +15,8 @@ co-occur with it, however far off.  With N rows in the corpus, n_t that hold ter
 t, n_c that hold c and n_tc that hold both, the disclosure of c by t is
 PMI / IC(c) = log(N n_tc / (n_t n_c)) / log(N / n_c): 1 if t occurs with c only.
 Terms with a support n_tc of SUPPORT or more are generalised at a disclosure of
-GENERALISE and removed at REMOVE, at every occurrence in each row that holds that
-entity; rows without protected entities are left as they are.  Each row counts its
+GENERALISE, to the class of their form (a name, an acronym, a code or a word), and
+removed at REMOVE, at every occurrence in each row that holds that entity; rows without protected entities are left as they are.  Each row counts its
 distinct terms and entities once.  Before the two are paired, entities and terms
 in fewer than SUPPORT rows go, and pairs in which the term is too frequent to
 reach GENERALISE even if it were in every row of the entity.  Only rows with
@@ -50,9 +50,10 @@ TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.95
-#: Candidate terms up to this number are broadcast (after a count), more are joined by a shuffle.
-BROADCAST_TERMS = 100_000
+#: Candidate terms are broadcast up to this number and this many bytes (both looked at first), beyond joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 100_000, 8 << 20
 BLOCK = 256
+NO_TERMS = "cast(array() as array<struct<start: bigint, end: bigint, form: string>>)"
 
 
 def _running(a: Column, merge, empty: str = "bigint") -> Column:
@@ -148,7 +149,8 @@ def _disclosing(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
     words = found.join(held.select("found_row").distinct(), "found_row", "left_semi").select("found_row", F.explode(_terms(F.col("found_text"))).alias("term"))
     wanted = materialize(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term"), "wanted")
     every = texts.select(F.explode(_terms(F.col("text").cast("string"))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
+    n_wanted, n_bytes = wanted.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+    if n_wanted <= BROADCAST_TERMS and (n_bytes or 0) <= BROADCAST_BYTES:
         counted = every.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         counted = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
@@ -171,27 +173,33 @@ def _term_spans(found: DataFrame, risky: DataFrame, pairs: DataFrame) -> DataFra
     starts = _running(F.slice(steps, 1, F.size(values)), lambda a, b: a + b)
     rows = found.join(own.select("found_row").distinct(), "found_row", "left_semi")
     each = rows.select("found_row", F.explode(F.arrays_zip(starts.alias("s"), values.alias("v"))).alias("y"))
-    each = each.select("found_row", F.lower("y.v").alias("term"), F.col("y.s").alias("start"), (F.col("y.s") + F.length("y.v")).cast("long").alias("end"))
-    spans = each.join(own, ["found_row", "term"]).groupBy("found_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("found_term"))
-    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, action: string>>)")
-    return found.join(spans, "found_row", "left").withColumn("found_term", F.coalesce("found_term", none))
+    each = each.select("found_row", F.lower("y.v").alias("term"), F.col("y.s").alias("start"), (F.col("y.s") + F.length("y.v")).cast("long").alias("end"), F.col("y.v").alias("value"))
+    form = F.when(F.col("action") == "generalise", _class_of(F.col("value"))).otherwise("").alias("form")
+    spans = each.join(own, ["found_row", "term"]).groupBy("found_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", form))).alias("found_term"))
+    return found.join(spans, "found_row", "left").withColumn("found_term", F.coalesce("found_term", F.expr(NO_TERMS)))
+
+
+def _class_of(term: Column) -> Column:
+    """What a generalised term is replaced with."""
+    return F.when(term.rlike(r"\p{N}"), "[CODE]").when(term == F.upper(term), "[ACRONYM]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
 
 def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows without entities, rows with them and with found_term): together all
-    of docs, with all its columns and the columns of find()."""
+    of docs, its columns in the struct row, beside the columns of find().  The
+    patterns run once over every text; the rows go to the shared folder."""
     # Clashing names: docs' own columns go into one struct.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = _numbered(find(packed, ["row", "doc_id"]).where(_any_found()))
-    return packed, _term_spans(some, *_disclosing(some, docs))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    every = _numbered(find(packed, ["row"]))
+    some = every.where(_any_found())
+    return every.where(~_any_found()), _term_spans(some, *_disclosing(some, docs))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Counts, base_sha256 and spans of every row."""
     thin = _numbered(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
     with_any = thin.where(_any_found())
-    empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, action: string>>)")
-    full = thin.where(~_any_found()).withColumn("found_term", empty).unionByName(_term_spans(with_any, *_disclosing(with_any, docs)))
+    full = thin.where(~_any_found()).withColumn("found_term", F.expr(NO_TERMS)).unionByName(_term_spans(with_any, *_disclosing(with_any, docs)))
     base = F.concat_ws(",", F.concat(*[_spans(k, F.col(f"found_{k}")) for k in KINDS]))
     every = F.concat_ws(",", F.concat(*[_spans(k, F.col(f"found_{k}")) for k in KINDS], _spans("term", F.col("found_term"))))
     return full.select("doc_id", *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
@@ -204,7 +212,7 @@ def _sanitised(text: Column) -> Column:
     """text with its spans replaced; what several spans cover is replaced once."""
     masked = lambda kind: lambda x, name: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PLACEHOLDER[kind]).alias("as"))
     one = [_each(k, masked(k)) for k in KINDS]
-    terms = F.transform("found_term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "generalise", "[TERM]").otherwise("").alias("as")))
+    terms = F.transform("found_term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["form"].alias("as")))
     spans = F.array_sort(F.concat(*one, terms))
     reach = _running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
     before = F.concat(F.array(F.lit(0).cast("long")), reach)
@@ -221,8 +229,8 @@ def _sanitised(text: Column) -> Column:
 def sanitize(docs: DataFrame) -> DataFrame:
     """docs with entities masked and disclosing terms generalised or removed in
     text; n_chars, where there is one, counts the new text."""
-    packed, found = analyse(docs)
-    clean = find(packed, ["row"]).where(~_any_found()).select("row.*")
+    clean, found = analyse(docs)
+    clean = clean.select("row.*")
     new = found.withColumn("new", _sanitised(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
     field = {"text": F.col("new").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
