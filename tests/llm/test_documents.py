@@ -167,8 +167,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    docs = odd(spark).union(spark.createDataFrame([(11, "a <|endoftext|>  b\r\n\n  c　 d " + "é" * 3000, *[None] * 9)], odd(spark).schema))
+    special = ["a <|endoftext|>  b\r\n\n  c　 d " + "é" * 3000, "<|endoftext|>", "<|endoftext|> a", "a<|endoftext|>b", "a <|endoftext|><|endoftext|>  ", "<|endoftext|", "x\n<|endoftext|>\n y"]
+    docs = odd(spark).union(spark.createDataFrame([(11 + k, x, *[None] * 9) for k, x in enumerate(special)], odd(spark).schema))
     got = packing.pack(docs).toPandas()
     for row in docs.distinct().where("doc_id is not null").collect():
         import numpy as np

@@ -1,11 +1,18 @@
 """The operators do the whole job: what an earlier form of each left out."""
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
-from sparkloom.llm import licenses, packing, pieces, pii, simhash
+import pytest
 
-from .cases import odd
+from sparkloom.llm import classifier, licenses, lm, packing, pieces, pii, simhash, warc
+from sparkloom.llm._common import scratch_path
+
+from .cases import none, odd
 
 
 # near-duplicate stage
@@ -41,6 +48,138 @@ def test_a_bucket_of_unlike_members_is_settled(spark):
     assert [roots.get(k, k) for k in range(12)] == [k % 4 for k in range(12)]
 
 
+def test_alike_texts_below_the_threshold_make_no_pairs(spark):
+    """Members that share 84 of 100 shingles, each with 16 of its own, have a similarity of 0.72."""
+    sets = [(k, [*range(84), *range(1000 * (k + 1), 1000 * (k + 1) + 16)]) for k in range(300)]
+    df = spark.createDataFrame(sets, "fp long, words array<long>")
+    rest = df.selectExpr("fp", "cast(100 as long) as size", "fp as root")
+    assert simhash._prefix_pairs(rest, df).count() == 0
+
+
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    rng = random.Random(11)
+    sets = []
+    for g in range(10):
+        base = rng.sample(range(100_000), rng.choice([7, 30, 90, 200]))
+        for _ in range(14):
+            own = list(base)
+            for at in rng.sample(range(len(own)), rng.randint(0, len(own) // 6)):
+                own[at] = rng.randrange(100_000, 200_000)
+            sets.append(sorted(set(own[rng.randint(0, len(own) // 8) :])))
+    df = spark.createDataFrame(list(enumerate(sets)), "fp long, words array<long>")
+    rest = df.selectExpr("fp", "cast(size(words) as long) as size", "fp % 50 as root")
+    found = {(r["u"], r["v"]) for r in simhash._prefix_pairs(rest, df).collect()}
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if a % 50 != b % 50 and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    assert want and want <= found and len(found) < 140 * 139 / 4
+    kept = {(r["u"], r["v"]) for r in simhash._similar(spark.createDataFrame(sorted(found), "u long, v long"), df).collect()}
+    assert kept == want
+
+
+# classifier
+def test_the_solver_reaches_the_optimum():
+    """Against projected gradient ascent on the dual, and by the gap between primal and dual."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((60, 40)) < 0.2).astype(float)
+    x[:, 0] = 1
+    y = np.where(x[:, 1:6].sum(1) + 0.4 * rng.normal(size=60) > 1, 1.0, -1.0)
+    ratio = np.zeros(1 << classifier.BITS)
+    ratio[:40] = rng.normal(size=40)
+    ratio[0] = 1
+    rows = [np.flatnonzero(r) for r in x]
+    w = classifier._hinge(rows, y, ratio, 1, epochs=3000)[:40]
+    z = x * ratio[:40]
+    cap = classifier.C / (2 * np.where(y > 0, (y > 0).mean(), (y < 0).mean()))
+    primal = lambda v: v @ v / 2 + (cap * np.maximum(0, 1 - y * (z @ v))).sum()
+    q, a = (y[:, None] * z) @ (y[:, None] * z).T, np.zeros(60)
+    for _ in range(200_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, cap)
+    dual = a.sum() - a @ q @ a / 2
+    assert abs(primal(w) - dual) < 1e-4 * dual and np.allclose(w, z.T @ (a * y), atol=1e-3)
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    import numpy as np
+
+    docs = [(k, f"good plain words {k % 7} follow here" if k % 2 else f"BAD $$$ {k % 5} %% zz zz") for k in range(40)] + [(41, None), (42, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = classifier.learn(df, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    w, slope, offset = model
+    got = {r["doc_id"]: r["score"] for r in classifier.scores(df, model).collect()}
+    for k, t in docs:
+        f = set()
+        words, shapes = (t or "").lower().split(), []
+        for s in (t or "").split():
+            shapes.append(re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", s)))))
+        runs = ["^", *["=" if i and words[i] == words[i - 1] else s for i, s in enumerate(shapes)], "$"]
+        top = (1 << classifier.BITS) - 1
+        f |= {zlib.crc32(x.encode()) % top + 1 for x in words}
+        f |= {zlib.crc32(b"\0" + " ".join(runs[i : i + n]).encode()) % top + 1 for n in (1, 2, 3) for i in range(len(runs) - n + 1)}
+        margin = float(np.sum(w[sorted({0, *f})], dtype=np.float64))
+        assert math.isclose(got[k], 1 / (1 + math.exp(-(slope * margin + offset))), rel_tol=1e-4), k
+    assert all((got[k] >= 0.3) == bool(k % 2) for k in range(40))
+
+
+def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda rows, labels: seen.append([len(r) for r in rows]))
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5][:60]
+    docs = spark.createDataFrame([(ids[0], f"copy number {k}") for k in range(500)] + [(k, f"some words of {k}") for k in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    classifier.learn(docs, labels)
+    classifier.learn(docs, labels, fit_rows=5)
+    monkeypatch.setattr(classifier, "FIT_FEATURES", 100)
+    classifier.learn(docs, labels)
+    assert len(seen[0]) == 60 and len(seen[1]) == 5 and seen[2] and sum(seen[2]) <= 100 and seen[2] == seen[0][: len(seen[2])]
+
+
+# language model
+def test_rows_whose_texts_shift_at_their_seams(spark, monkeypatch):
+    """Null and repeated ids in several partitions: their blocks hold equal bytes, but not equal tokens."""
+    rows = [[(None, "ab x"), (None, "c y")], [(None, "ab xc"), (None, " y")], [(7, "ab x"), (7, "c y")], [(7, "ab xc"), (7, " y")], [(7, "ab x"), (7, "c y")], [(3, "ab c"), (8, "y y x")]]
+    part = [spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in rows]
+    df = part[0]
+    for p in part[1:]:
+        df = df.union(p)
+    monkeypatch.setattr(lm, "LEAST_BUCKETS", 4)
+    words = [(d, [*t.split(), "\n"]) for r in rows for d, t in r]
+    crc = lambda d: 1 << 20 if d is None else zlib.crc32(str(d).encode())
+    train = Counter(w for d, ws in words if d is None or crc(d) % 5 != 1 for w in ws)
+    n, v = sum(train.values()), len(train)
+    want = sorted((str(d), len(ws), sum(train[w] > 0 for w in ws), round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 9)) for d, ws in words)
+    got = lm.score(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in got) == want and {r["train_tokens"] for r in got} == {n}
+    rounded = lambda x: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in x)
+    assert rounded(got) == rounded(lm.score(df.coalesce(1)).collect())
+
+
+# archives
+def test_an_archive_that_is_cut_off_is_an_error(tmp_path):
+    import io
+
+    row = {"record_id": "r", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": "D", "payload_bytes": 300, "payload": b"abc" * 100}
+    one = warc.record(row)
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    member = pack.compress(one) + pack.flush()
+    for gz, unit in ((False, one), (True, member)):
+        read = lambda raw, **how: list(warc.records(io.BytesIO(raw), gz, how.get("wanted", {}), how.get("payload", True)))  # noqa: E731,B023
+        assert len(read(unit * 3)) == len(read(unit * 3, payload=False)) == 3 and read(b"") == [] and read(unit * 2, wanted={"record_type": {"revisit"}}) == []
+        for cut in (1, 3, 5, len(unit) // 3, len(unit) // 2, len(unit) - 10):
+            for how in ({}, {"payload": False}, {"wanted": {"record_type": {"revisit"}}}):
+                with pytest.raises((EOFError, zlib.error)):
+                    read(unit * 2 + unit[:-cut], **how)
+
+
+def test_a_long_payload_is_read_in_linear_time(tmp_path):
+    import io
+    import time
+
+    row = {"record_id": "r", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": "D", "payload_bytes": 1 << 27, "payload": b"x" * (1 << 27)}
+    began = time.time()
+    assert len(next(warc.records(io.BytesIO(warc.record(row)), False, {}, True))[-1]) == 1 << 27 and time.time() - began < 5
+
+
 # personal data
 def test_a_far_term_discloses_and_goes_everywhere(spark):
     filler = "plain words follow here " * 20
@@ -50,7 +189,7 @@ def test_a_far_term_discloses_and_goes_everywhere(spark):
     got = {(r["entity"], r["term"], r["action"]) for r in pii.disclosures(pii.find(df, ["doc_id"]).where(pii._any_found()), df).collect()}
     assert got == {(f"email:{e}@x.org", t, a) for e in ("jo", "kim") for t, a in (("zanzibar", "generalise"), ("first", "remove"), ("again", "remove"), ("then", "remove"))}
     texts = [r["text"] for r in pii.sanitize(df).collect()]
-    assert sorted(texts) == sorted([f"[TERM] . {filler}[EMAIL] and [EMAIL] {filler} [TERM]  and [TERM]"] * 4 + [t for _, t in docs[4:]])
+    assert sorted(texts) == sorted([f"[NAME] . {filler}[EMAIL] and [EMAIL] {filler} [ACRONYM]  and [WORD]"] * 4 + [t for _, t in docs[4:]])
     spans = [r["spans"] for r in pii.digests(df).where("n_email > 0").collect()]
     assert len(spans) == 4 and all(x.count("term:") == 6 for x in spans)
 
@@ -96,6 +235,45 @@ def test_encoding_gives_the_segmentations(spark):
         assert back == {k: (t or "") if rank == 0 or len(t or "") > 1 else back[k] for k, t in enumerate(texts)}
 
 
+def test_long_words_cost_time_and_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    import public_tokenizers
+
+    p = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    for unit in ("漢字仮名交じり文", "abcdefghijk", "a", "the"):
+        took = []
+        for n in (20_000, 200_000):
+            word = (unit * n)[:n]
+            began = time.process_time()
+            ids, scores = pieces.Encoder(p).encode(word)
+            took.append(time.process_time() - began)
+            assert len(scores) <= 4
+        assert took[1] < 40 * took[0] + 0.5
+    tracemalloc.start()
+    assert pieces.Encoder(p).paths("a" * 50_000)
+    assert tracemalloc.get_traced_memory()[1] < 50_000 * 200
+    tracemalloc.stop()
+
+
+def test_what_is_kept_of_words_is_bounded(monkeypatch):
+    kept = pieces._Kept(len, 10_000)
+    for k in range(1000):
+        assert kept[f"word {k}"] == len(f"word {k}")
+    assert len(kept) < 25 and kept["x" * pieces.SHORT] == pieces.SHORT and "x" * pieces.SHORT not in kept
+
+
+def test_the_collector_is_as_it_was():
+    import gc
+
+    import pyarrow as pa
+
+    run = pieces._encode_batches(None, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], names=["doc_id", "text"])
+    assert len(list(run([batch]))) == 1 and gc.isenabled()
+
+
 # licences
 def test_licences_within_a_paragraph_and_several_of_them(spark):
     mit = "Released under the MIT License."
@@ -111,3 +289,27 @@ def test_full_licence_texts(spark):
     docs = [(k, f"before it {t} after it") for k, t in enumerate(full.values())]
     got = {r["doc_id"]: {m["license"]: m["dice"] for m in r["matches"]} for r in licenses.find_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(full) == 8 and all(got[k][name] == 1.0 for k, name in enumerate(full))
+
+
+# the pipeline
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(1, 1), (5, 0), (6, 0), (7, 1)], "doc_id long, quality int")
+    good = "A clear sentence about rivers and towns that any reader may follow with ease. "
+    more = [(20 + k, good + f"Number {k} of the series, written to {k}@x.org on day {k} of the month.", None, None, None, k, 0.5, "x", None, 9, 8) for k in range(6)]
+    more += [more[0], (None, good + "No id at all, yet a text like the others here.", *[None] * 9)]
+    for name, docs in (("odd", odd(spark).union(spark.createDataFrame(more, odd(spark).schema))), ("none", none(spark))):
+        path = str(tmp_path / name)
+        docs.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for step, stage in cp.STAGES[:-1]:
+            now = stage(spark, now, path)
+            assert now.columns == docs.columns, step
+        kept = now.collect()
+        assert len(kept) <= docs.count() and all("@x.org" not in (r["text"] or "") for r in kept)
+        out = cp.run(spark, path)
+        whole = out.where("doc_id is not null").groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+        assert out.select("sequence_id", "offset").distinct().count() == out.count() and all(r[1] % r[2] == 0 for r in whole)
+        assert (out.count() == 0) == (not kept)
