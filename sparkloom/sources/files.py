@@ -39,12 +39,19 @@ def wrap_bytes(df: DataFrame, column: str, columns: int, row_bytes: int) -> Data
     if row_bytes < columns:
         raise ValueError("rows overlap")
     c = F.col(column)
+    short = F.raise_error(F.lit("fewer bytes than a row has columns"))
+    df = df.select(F.when(F.length(c) >= columns, c).otherwise(short).alias(column))
     rows = df.select(c, F.explode(F.sequence(F.lit(0), F.floor((F.length(c) - columns) / row_bytes).cast("int"))).alias("i0"))
     cells = rows.select(c, "i0", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("i1"))
     at = F.substring(F.hex(c), (F.col("i0") * row_bytes + F.col("i1")) * 2 + 1, F.lit(2))
     return cells.select("i0", "i1", F.conv(at, 16, 10).cast("int").alias("v"))
 
 
+def read_lines(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """(value) per line of text files, or per file."""
+    return spark.read.text(path, wholetext=whole_files)
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, i, line)"""
     return df.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
@@ -71,11 +78,20 @@ def decode_bytes(b: Column) -> Column:
 
 
 def hex_dump(b: Column, columns: int = 16) -> Column:
-    """Offset, hex bytes and printable characters, a line per columns bytes."""
+    """Hex bytes, a gap after every eight, and printable characters; a line per columns
+    bytes (-1: one line), which has its offset in front and a line feed behind where
+    there are several; (empty) and (null) for what has no bytes."""
     n = F.octet_length(b)
-    line = lambda k: F.concat(
-        F.lpad(F.lower(F.hex(k * columns)), 8, "0"), F.lit("  "),
-        F.rpad(F.trim(F.regexp_replace(F.lower(F.hex(F.substring(b, k * columns + 1, F.lit(columns)))), "(..)", "$1 ")), 3 * columns, " "), F.lit(" |"),
-        F.regexp_replace(F.decode(F.substring(b, k * columns + 1, F.lit(columns)), "ISO-8859-1"), r"[^\x20-\x7E]", "."), F.lit("|"),
-    )
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / columns).cast("int")), line), "\n")
+    width = F.greatest(n, F.lit(1)) if columns == -1 else F.least(F.lit(columns), F.greatest(n, F.lit(1)))
+    several = n > width
+
+    def line(k):
+        part = F.substring(b, k * width + 1, width)
+        pairs = F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 ")
+        gapped = F.regexp_replace(pairs, "(.{24})(?=.)", "$1 ")
+        text = F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".")
+        shift = F.when(several, F.concat(F.lpad(F.lower(F.hex((k * width).cast("bigint"))), 4, "0"), F.lit("  "))).otherwise("")
+        return F.concat(shift, gapped, F.lit(" |"), text, F.lit("|"), F.when(several, "\n").otherwise(""))
+
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / width).cast("int")), line)
+    return F.when(b.isNull(), "(null)").when(n == 0, "(empty)").otherwise(F.array_join(lines, ""))

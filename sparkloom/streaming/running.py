@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..operators import ordered
 
 
 def windowed(events: DataFrame, watermark: str = "1 hour", width: str = "6 hours") -> DataFrame:
@@ -16,14 +19,17 @@ def windowed(events: DataFrame, watermark: str = "1 hour", width: str = "6 hours
     return out.select(F.col("window.start").cast(kind).alias("start"), "event_type", "n", "total", "most")
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """The result of all that a stream holds now.  Each trigger's result replaces the
-    one before it in a folder under path, beside the query's checkpoint; path must be
-    shared by all executors."""
-    schema = stream.schema
+def run_once(stream: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
+    """The result of all that a stream holds now, in update mode: state that the
+    watermark has passed is dropped.  Each trigger writes the rows that it changed to a
+    folder of its own under path, beside the query's checkpoint, and writes it again if
+    it is repeated; the last row of each of keys (start and event_type) counts.  path
+    must be shared by all executors."""
+    keys = keys or ["start", "event_type"]
     q = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/result")).start()
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{path}/result/batch={k}")).start()
     )
     q.awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{path}/result")
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/result")
+    return ordered.upsert(rows, keys, "batch").select(*stream.columns)
