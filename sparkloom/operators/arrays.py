@@ -51,6 +51,18 @@ def reshape(df: DataFrame, axes: list[str], shape: list[int], new: list[int]) ->
     return df.select(*cols, "v")
 
 
+def is_contiguous(shape: list[int], steps: list[int]) -> bool:
+    """Elements of a view lie densely in row-major order (axes of one may have any step)."""
+    return all(n == 1 or s == t for n, s, t in zip(shape, steps, strides(shape)))
+
+
+def element_offset(index: list[int], shape: list[int], steps: list[int], start: int = 0) -> int:
+    """Place of an element of a view in its buffer."""
+    if len(index) != len(shape) or any(not 0 <= k < n for k, n in zip(index, shape)):
+        raise IndexError(f"{index} in {shape}")
+    return start + sum(k * s for k, s in zip(index, steps))
+
+
 def expand(df: DataFrame, axis: str, n: int) -> DataFrame:
     """A new axis of n equal copies, without a join."""
     return df.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -85,14 +97,49 @@ def batched_matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["p", "k"]).groupBy("p", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def same_length(x: Column, y: Column, value: Column) -> Column:
+    """value, or an error where two cells differ in length."""
+    return F.when(F.size(x) == F.size(y), value).when(x.isNotNull() & y.isNotNull(), F.raise_error(F.lit("lengths differ")))
+
+
 def dot(x: Column, y: Column) -> Column:
     """Dot product of two array cells in double precision."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return same_length(x, y, F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v))
+
+
+def whole_dot(x: Column, y: Column) -> Column:
+    """Exact dot product of two cells of whole numbers, as a decimal(38, 0)."""
+    wide = "decimal(38,0)"
+    products = F.zip_with(x, y, lambda p, q: (p.cast("decimal(19,0)") * q.cast("decimal(19,0)")).cast(wide))
+    return same_length(x, y, F.aggregate(products, F.lit(0).cast(wide), lambda s, v: (s + v).cast(wide)))
 
 
 def l2sq(x: Column, y: Column) -> Column:
     d = F.zip_with(x, y, lambda p, q: p.cast("double") - q.cast("double"))
-    return F.aggregate(d, F.lit(0.0), lambda s, v: s + v * v)
+    return same_length(x, y, F.aggregate(d, F.lit(0.0), lambda s, v: s + v * v))
+
+
+def pack_bits(x: Column) -> Column:
+    """Truth values of a cell's elements (positive or not) as longs of 64 bits each, the first element lowest."""
+    word = lambda w: F.aggregate(
+        F.transform(F.slice(x, w * 64 + 1, 64), lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint"))),
+        F.lit(0).cast("bigint"), lambda s, v: s.bitwiseOR(v),
+    )
+    return F.when(F.size(x) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / F.lit(64)).cast("int")), word))
+
+
+def _counted(x: Column, y: Column, f) -> Column:
+    return same_length(x, y, F.aggregate(F.zip_with(pack_bits(x), pack_bits(y), lambda p, q: F.bit_count(f(p, q))), F.lit(0), lambda s, v: s + v))
+
+
+def hamming(x: Column, y: Column) -> Column:
+    """Elements of two cells that differ as truth values, at any length."""
+    return _counted(x, y, lambda p, q: p.bitwiseXOR(q))
+
+
+def bin_dot(x: Column, y: Column) -> Column:
+    """Elements that are true in both cells."""
+    return _counted(x, y, lambda p, q: p.bitwiseAND(q))
 
 
 def gemv(w: Column, x: Column) -> Column:
@@ -101,11 +148,14 @@ def gemv(w: Column, x: Column) -> Column:
 
 
 def gemv_scaled(w: Column, x: Column, scales: Column, group: int) -> Column:
-    """Sum over groups of scale times the group's dot product."""
+    """Sum over groups of scale times the group's dot product; the last group may be
+    shorter, and there must be a scale for each."""
     part = F.zip_with(w, x, lambda p, q: p.cast("double") * q.cast("double"))
-    return F.aggregate(
+    total = F.aggregate(
         F.transform(scales, lambda s, g: s * F.aggregate(F.slice(part, g * group + 1, group), F.lit(0.0), lambda t, v: t + v)), F.lit(0.0), lambda t, v: t + v
     )
+    fits = F.size(scales) == F.ceil(F.size(w) / F.lit(group))
+    return same_length(w, x, F.when(fits, total).otherwise(F.raise_error(F.lit("a scale per group is needed"))))
 
 
 def softmax(df: DataFrame, keep: list[str]) -> DataFrame:
