@@ -1,4 +1,4 @@
 """All queries on the reference tables, by id."""
 
-from . import elementwise, keyed, series, tensors  # noqa: F401
+from . import elementwise, keyed, series, tensors, typed  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

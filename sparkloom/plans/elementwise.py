@@ -68,7 +68,8 @@ _col("ew_min", lambda: ieee.fmin(nan(), c("z")), f"CASE WHEN isnan({NAN}) THEN z
 _col("ew_max", lambda: ieee.fmax(nan(), c("z")), f"CASE WHEN isnan({NAN}) THEN z ELSE greatest({NAN}, z) END")
 _col("ew_clip", lambda: ieee.clip(c("y"), -1.0, 1.5), "least(greatest(y, -1.0::DOUBLE), 1.5::DOUBLE)")
 _col("ew_safediv", lambda: r8(ieee.safe_div(c("y"), c("z"), F.lit(-7.0))), "round(CASE WHEN z = 0 THEN -7.0 ELSE y / z END, 8)")
-_col("bin_arith", lambda: F.struct(((c("a") % 2 == 1) != (c("c") % 2 != 0)).alias("x"), ((c("a") % 2 == 1) & (c("c") % 2 != 0)).alias("m"))["x"], "(a % 2 = 1) <> (c % 2 <> 0)")
+_col("bin_arith", lambda: (c("a") % 2 == 1) != (c("c") % 2 != 0), "(a % 2 = 1) <> (c % 2 <> 0)")
+_col("bin_mul", lambda: (c("a") % 2 == 1) & (c("c") % 2 != 0), "(a % 2 = 1) AND (c % 2 <> 0)")
 
 # unary
 SIMPLE = {
@@ -122,6 +123,7 @@ _col("pred_isfinite", lambda: ieee.is_finite(ieee.div(c("y"), c("z"))), f"isfini
 _col("mask_not", lambda: ~(c("y") > 0), "NOT (y > 0)")
 for name, f, s in (("and", lambda a, b: a & b, "AND"), ("or", lambda a, b: a | b, "OR"), ("xor", lambda a, b: a != b, "<>")):
     _col(f"mask_{name}", lambda f=f: f(ieee.truth(c("y")), ieee.truth(c("z"))), f"(y <> 0) {s} (z <> 0)")
+_col("mask_logical_xor", lambda: ieee.truth(nan()) != ieee.truth(c("b")), f"(({NAN}) <> 0) <> (b <> 0)")
 _col("mask_logical", lambda: (ieee.truth(nan()) & F.lit(True)) | ieee.truth(c("b")), f"({NAN}) <> 0 OR b <> 0")
 _col("sel_where", lambda: F.when(ieee.truth(c("b")), c("y")).otherwise(F.lit(-1.0)), "CASE WHEN b <> 0 THEN y ELSE -1 END::DOUBLE")
 _col("sel_choose", lambda: F.when(c("z") > 0, c("y")).otherwise(c("u")), "CASE WHEN z > 0 THEN y ELSE u END")
@@ -223,6 +225,13 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
+@query("src_readline_files", "SELECT c_name AS value FROM customer")
+def _(spark, sf_dir):
+    path = files.shared_path(spark, "readline")
+    table(spark, sf_dir, "customer").select("c_name").write.text(path)
+    return files.read_lines(spark, path)
+
+
 @query("src_readline", "SELECT doc_id, (unnest(range(1, len(p) + 1)) - 1)::INT AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
 def _(spark, sf_dir):
     return files.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -271,3 +280,11 @@ def _(spark, sf_dir):
 @query("meta_strides", "SELECT * FROM (VALUES (0, 12), (1, 4), (2, 1)) t(axis, stride)")
 def _(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(arrays.strides([2, 3, 4]))), "axis int, stride int")
+
+
+@query("meta_contiguous", "SELECT * FROM (VALUES ('whole', true, 23), ('transposed', false, 15), ('row', true, 3)) t(view, dense, last)")
+def _(spark, sf_dir):
+    """Whether views of a [2, 3, 4] array are dense, and the place of their last element."""
+    views = {"whole": ([2, 3, 4], [12, 4, 1], 0), "transposed": ([4, 3], [1, 4], 4), "row": ([1, 4], [99, 1], 0)}
+    rows = [(k, arrays.is_contiguous(n, s), arrays.element_offset([x - 1 for x in n], n, s, o)) for k, (n, s, o) in views.items()]
+    return spark.createDataFrame(rows, "view string, dense boolean, last int")

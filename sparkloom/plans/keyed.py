@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ordered
@@ -36,7 +35,7 @@ CEILING = "SELECT p.x, k.k AS found FROM (SELECT DISTINCT {probe} AS x FROM {pro
 
 
 def _ceiling(probes, probe, keys, key):
-    return ordered.ceiling(probes.select(c(probe).alias("x")), keys.select(c(key).alias("k")), "x", "k", ordered.quantile_bounds(keys, key, 16))
+    return ordered.ceiling(probes.select(c(probe).alias("x")), keys.select(c(key).alias("k")), "x", "k")
 
 
 @query("kv_findnext", CEILING.format(probe="l_extendedprice", probes="lineitem", key="o_totalprice", keys="orders"))
@@ -49,11 +48,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("kv_validate", "SELECT count(*)::BIGINT AS n FROM customer")
+@query("kv_validate", """SELECT 'orders' AS t, count(*)::BIGINT AS n, count(*) FILTER (o_custkey IS NULL)::BIGINT AS no_key, (count(o_custkey) - count(DISTINCT o_custkey))::BIGINT AS again FROM orders
+    UNION ALL SELECT 'customer', count(*), count(*) FILTER (c_custkey IS NULL), count(c_custkey) - count(DISTINCT c_custkey) FROM customer""")
 def _(spark, sf_dir):
-    t = table(spark, sf_dir, "customer")
-    known = spark.read.schema("c_custkey bigint, c_name string").parquet(f"{sf_dir}/customer.parquet")
-    return known.where(c("c_custkey").isNotNull()).agg(F.count("*").alias("n")) if "c_custkey" in t.columns else t
+    """Rows, rows without a key and rows that repeat one, of a table that is a tree by its key and one that isn't."""
+    parts = [ordered.validate(table(spark, sf_dir, t), k).select(F.lit(t).alias("t"), "n", "no_key", "again") for t, k in (("orders", "o_custkey"), ("customer", "c_custkey"))]
+    return parts[0].union(parts[1])
 
 
 @query("kv_open", "SELECT c_custkey, c_acctbal FROM customer")
@@ -110,15 +110,32 @@ def _(spark, sf_dir):
     return ordered.longest_prefix(p, p.select(F.left("name", F.lit(5)).alias("k")), "name", "k", 32)
 
 
+NEAREST = """WITH p AS (SELECT DISTINCT p_name AS p FROM part), k AS (SELECT DISTINCT left(p_name, 5 + length(p_name) % 5) AS k FROM part WHERE p_partkey % 3 = 0),
+    x AS (SELECT k, unnest(range(0, length(k) + 1)) AS n FROM k), nodes AS (SELECT left(k, n) AS path, bool_or(n = length(k)) OR count(DISTINCT substr(k, n + 1, 1)) > 1 OR bool_or(n = 0) AS node FROM x GROUP BY ALL),
+    m AS (SELECT p, path, node, row_number() OVER (PARTITION BY p ORDER BY length(path) DESC) AS r FROM p JOIN nodes ON starts_with(p, path))
+    SELECT p, path AS prefix, CASE WHEN node AND p = path THEN 'exact' WHEN node THEN 'empty entry' ELSE 'to split' END AS outcome FROM m WHERE r = 1"""
+
+
+@query("bt_nearest_outcomes", NEAREST)
+def _(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    keys = t.where("p_partkey % 3 = 0").select(F.left("p_name", 5 + F.length("p_name") % 5).cast("binary").alias("k"))
+    found = ordered.nearest(t.select(c("p_name").cast("binary").alias("p")), keys, "p", "k")
+    return found.select(c("p").cast("string").alias("p"), c("prefix").cast("string").alias("prefix"), "outcome")
+
+
+@query("bt_find_bytes", "SELECT page_id, coalesce(v, 0)::BIGINT AS v FROM pages LEFT JOIN (SELECT url AS u, min(page_id) AS v FROM pages WHERE page_id % 2 = 0 AND url <> '' GROUP BY url) ON url = u")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    b = c("url").cast("binary")
+    keys = ordered.insert_if_absent(p.where((c("page_id") % 2 == 0) & (F.octet_length(b) > 0)).select(b.alias("u"), c("page_id").alias("v")), "u", "v")
+    return p.join(keys.select("u", "v"), b == c("u"), "left").select("page_id", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 @query("bt_order", "SELECT url, row_number() OVER (ORDER BY encode(url), page_id) AS pos FROM pages")
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url", c("url").cast("binary").alias("b")).repartitionByRange(8, "b").sortWithinPartitions("b", "page_id")
-    # global positions: counts per range partition (a handful of rows), then positions within
-    p = files.write_and_read(p.withColumn("part", F.spark_partition_id()), "order")
-    n = p.groupBy("part").agg(F.count("*").alias("n"))
-    before = n.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("b", "page_id"))
-    return p.withColumn("own", own).join(F.broadcast(before), "part").select("url", (c("before") + c("own")).alias("pos"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", c("url").cast("binary").alias("b"))
+    return ordered.positions(p, ["b", "page_id"], "pos").select("url", "pos")
 
 
 @query("bytes_cmp", "SELECT p_partkey, p_name < p_type AS lt, p_name = p_type AS eq FROM part")
@@ -139,6 +156,13 @@ def _(spark, sf_dir):
     return ordered.best_fit(_regions(spark, sf_dir), 1234)
 
 
+@query("free_extend", f"SELECT (max(\"offset\" + size) + 7) // 8 * 8 AS \"offset\", 999999999::BIGINT AS size FROM {REGIONS}")
+def _(spark, sf_dir):
+    """A request that no region holds goes to the end of the file, at a multiple of eight."""
+    r = _regions(spark, sf_dir)
+    return ordered.best_fit(r, 999_999_999, r.agg(F.max(c("offset") + c("size"))).first()[0]).select("offset", c("size").cast("bigint").alias("size"))
+
+
 @query("free_mark", f"SELECT size, count(*)::BIGINT AS n, min(\"offset\") AS first FROM {REGIONS} GROUP BY size")
 def _(spark, sf_dir):
     return _regions(spark, sf_dir).groupBy("size").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
@@ -200,14 +224,16 @@ _cell("list_unordered_remove", lambda: _join(F.concat(F.slice("s", F.size("s"),
 _cell("list_resize", lambda: _join(F.slice(F.concat("s", F.array_repeat(F.lit(""), 6)), 1, 6)), "array_to_string(list_concat(s, ['', '', '', '', '', ''])[1:6], ',')")
 _cell("list_slice", lambda: _join(F.slice("l", -2, 2)), "array_to_string(CASE WHEN len(l) < 2 THEN [] ELSE l[-2:] END, ',')")
 _cell("list_find", lambda: (F.array_position("l", F.lit("click")) - 1).cast("int"), "coalesce(list_position(l, 'click'), 0) - 1", "INT")
-_cell("list_clear", lambda: F.size(F.filter("l", lambda x: F.lit(False))), "0", "INT")
+_cell("list_clear", lambda: _join(F.array_append(F.filter("l", lambda x: F.lit(False)), F.element_at("l", 1))), "l[1]")
 _cell("llist_insert", lambda: _join(F.array_insert("s", 1, F.lit("x"))), "array_to_string(list_prepend('x', s), ',')")
 _cell("llist_remove", lambda: _join(F.array_remove("l", "click")), "array_to_string(list_filter(l, lambda e: e <> 'click'), ',')")
 _cell("iter_reverse", lambda: _join(F.reverse("l")), "array_to_string(list_reverse(l), ',')")
 _cell("iter_range", lambda: _join(F.slice("l", 1, 3)), "array_to_string(l[1:3], ',')")
-_cell("iter_equal", lambda: F.col("l") == F.reverse(F.reverse("l")), "true", "BOOLEAN")
+_cell("iter_equal", lambda: F.col("l") == F.reverse("l"), "l = list_reverse(l)", "BOOLEAN")
+_cell("iter_equal_types", lambda: F.array_sort(F.array_distinct("l")) == F.col("s"), "list_sort(list_distinct(l)) = s", "BOOLEAN")
 _cell("queue_pop", lambda: F.element_at("q", 1), "q[1]", "BIGINT")
-_cell("queue_peek", lambda: F.element_at("q", -1), "q[-1]", "BIGINT")
+_cell("queue_peek", lambda: F.element_at("q", 1), "q[1]", "BIGINT")
+_cell("queue_peeklast", lambda: F.element_at("q", -1), "q[-1]", "BIGINT")
 
 
 @query("queue_fifo", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 25")
@@ -272,16 +298,28 @@ def _text(name, f, sql):
 
 
 _text("str_isnumber", lambda: F.substring("p_brand", 7, 3).rlike("^[0-9]+$"), "regexp_full_match(substr(p_brand, 7, 3), '[0-9]+')")
-_text("str_parsehex32", lambda: F.conv(F.regexp_replace(F.concat(F.lit("0x"), F.hex("p_partkey")), "^0x", ""), 16, 10).cast("bigint"), "p_partkey")
+HEXES = ["", "0x", "0X"]
+_text("str_parsehex32", lambda: F.conv(F.regexp_replace(F.concat(F.get(F.array(*map(F.lit, HEXES)), (c("p_partkey") % 3).cast("int")), F.lower(F.hex((c("p_partkey") * 2654435761) % 4294967296))), "^0[xX]", ""), 16, 10).cast("bigint"),
+      "(p_partkey * 2654435761) % 4294967296")
 _text("str_parsehex64", lambda: F.conv(F.hex(c("p_partkey") * 4294967296), 16, 10).cast("decimal(20,0)").cast("string"), "(p_partkey * 4294967296)::VARCHAR")
+_text("str_tohex_int", lambda: F.lower(F.hex(c("p_partkey") * 65521)), "lower(hex(p_partkey * 65521))")
 _text("str_tohex", lambda: F.lower(F.hex(c("p_name").cast("binary"))), "lower(hex(encode(p_name)))")
 _text("str_concatf", lambda: F.format_string("%s-%05d", "p_brand", "p_partkey"), "printf('%s-%05d', p_brand, p_partkey)")
 _text("hash_cmp", lambda: c("p_name").eqNullSafe(c("p_type")), "p_name IS NOT DISTINCT FROM p_type")
 
 
-@query("str_hexdump", None)
+DUMP = """WITH t AS (SELECT p_partkey AS i, encode(left(p_name || ' ' || p_type || ' ' || p_brand, (p_partkey % 40)::INT)) AS b FROM part),
+    x AS (SELECT i, lower(hex(b)) AS h, octet_length(b) AS n, octet_length(b) > 16 AS several FROM t),
+    l AS (SELECT i, several, k, n, (SELECT string_agg(substr(h, 32 * k + 2 * j + 1, 2) || ' ' || CASE WHEN j = 7 AND 16 * k + 8 < n THEN ' ' ELSE '' END, '' ORDER BY j) FROM range(16) r(j) WHERE 16 * k + j < n) AS bytes
+        FROM x, range(3) q(k) WHERE 16 * k < n),
+    g AS (SELECT l.i, string_agg(CASE WHEN several THEN printf('%04x  ', 16 * k) ELSE '' END || bytes || ' |' || decode(b)[16 * k + 1:16 * k + 16] || '|' || CASE WHEN several THEN chr(10) ELSE '' END, '' ORDER BY k) AS v FROM l JOIN t USING (i) GROUP BY l.i)
+    SELECT i, coalesce(v, '(empty)') AS v FROM t LEFT JOIN g USING (i)"""
+
+
+@query("str_hexdump", DUMP)
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), files.hex_dump(F.concat_ws(" ", "p_name", "p_type", "p_brand").cast("binary")).alias("v"))
+    text = F.left(F.concat_ws(" ", "p_name", "p_type", "p_brand"), (c("p_partkey") % 40).cast("int"))
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), files.hex_dump(text.cast("binary")).alias("v"))
 
 
 @query("hash_block", "SELECT count(DISTINCT (p_partkey, p_size))::BIGINT AS n FROM part")
@@ -305,9 +343,11 @@ def _(spark, sf_dir):
     return maps(spark, sf_dir).select("k", F.coalesce(F.try_element_at("m", F.lit("purchase")), F.lit(0.25)).alias("v"))
 
 
-@query("map_drop", f"SELECT k, 0::BIGINT AS n FROM {LAST} GROUP BY k")
+@query("map_drop", f"SELECT k, count(*)::BIGINT AS before, 1::BIGINT AS after FROM {LAST} GROUP BY k")
 def _(spark, sf_dir):
-    return maps(spark, sf_dir).select("k", F.size(F.map_filter("m", lambda k, v: F.lit(False))).cast("bigint").alias("n"))
+    """Everything goes, then one entry is put."""
+    dropped = F.map_concat(F.map_filter("m", lambda k, v: F.lit(False)), F.create_map(F.lit("new"), F.lit(1.5)))
+    return maps(spark, sf_dir).select("k", F.size("m").cast("bigint").alias("before"), F.size(dropped).cast("bigint").alias("after"))
 
 
 @query("map_putfrom", f"SELECT k, t, CASE WHEN t IN ('click', 'new') THEN 1.5 ELSE v END::DOUBLE AS v FROM (SELECT * FROM {LAST} WHERE t NOT IN ('click', 'new') UNION ALL SELECT DISTINCT k, u, 0 FROM {LAST}, (VALUES ('click'), ('new')) n(u))")
@@ -319,5 +359,7 @@ def _(spark, sf_dir):
 
 _cell("queue_addmany", lambda: _join(F.concat("l", ab())), f"array_to_string(list_concat(l, {AB}), ',')")
 _cell("queue_add", lambda: F.size(F.array_append("q", F.lit(0).cast("bigint"))), "len(q) + 1", "INT")
+_cell("llist_insertat", lambda: _join(F.when(F.size("l") >= 2, F.array_insert("l", 3, F.lit("x"))).otherwise(c("l"))), "array_to_string(CASE WHEN len(l) >= 2 THEN list_concat(list_append(l[1:2], 'x'), l[3:]) ELSE l END, ',')")
+_cell("llist_removeat", lambda: _join(F.concat(F.slice("l", 1, 1), F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0))))), "array_to_string(list_concat(l[1:1], l[3:]), ',')")
 _cell("llist_add", lambda: _join(F.array_append("l", F.lit("x"))), "array_to_string(list_append(l, 'x'), ',')")
 _cell("llist_pop", lambda: _join(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))), "array_to_string(l[2:], ',')")

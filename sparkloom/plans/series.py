@@ -28,8 +28,18 @@ _agg("st_mse", lambda: r6(stats.mse(c("y"), c("z"))), "round(avg((y - z) * (y -
 _agg("st_mape", lambda: r6(stats.mape(c("u"), c("z"))), "round(avg(abs(u - z) / abs(u)) * 100, 6)")
 _agg("st_fitmatch", lambda: r6(stats.fit_match(nan(), c("z"))), f"round(1 - sum(CASE WHEN abs(y) + abs(z) > 0 THEN abs(y - z) / (abs(y) + abs(z)) ELSE 0 END) FILTER (i % 5 <> 0) / count(*) FILTER (i % 5 <> 0), 6)")
 _agg("st_mean", lambda: r6(F.avg("y")), "round(avg(y), 6)")
-_agg("st_nanmedian", lambda: stats.nan_median(nan()), f"median({NANY})")
+_agg("st_nanmedian_grouped", lambda: stats.nan_median(nan()), f"median({NANY})")
+
+
+@query("st_nanmedian", f"SELECT median({NANY}) AS v FROM {FRAME}")
+def _(spark, sf_dir):
+    return stats.median(frame(spark, sf_dir).select(nan().alias("v")), "v")
+
+
 _agg("st_var", lambda: r6(F.var_pop("y")), "round(var_pop(y), 6)")
+_agg("st_var_about", lambda: r6(stats.var_about(c("y"), 0.25)), "round(avg((y - 0.25) * (y - 0.25)), 6)")
+_agg("st_std_about", lambda: r6(F.sqrt(stats.var_about(c("y"), 0.25))), "round(sqrt(avg((y - 0.25) * (y - 0.25))), 6)")
+_agg("st_mape_zero", lambda: stats.mape(c("y"), c("z")) > 1e308, "count(*) FILTER (y = 0 AND z <> 0) > 0")
 _agg("st_std", lambda: r6(F.stddev_pop("y")), "round(stddev_pop(y), 6)")
 _agg("st_min", lambda: F.coalesce(F.min(F.when(~F.isnan(nan()), c("y"))), F.lit(float("inf"))), f"min({NANY})")
 _agg("st_max", lambda: F.coalesce(F.max(F.when(~F.isnan(nan()), c("y"))), F.lit(float("-inf"))), f"max({NANY})")
@@ -41,23 +51,44 @@ def _(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(slope), 5).alias("slope"), F.round(F.lit(intercept), 5).alias("intercept"))
 
 
-@query("st_polyfit2", "SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, -2.0::DOUBLE), (2, 3.0::DOUBLE)) t(power, v)")
+NOISY = f"(SELECT *, 3 * y * y - 2 * y + 0.5 + (i % 13 - 6) / 8.0::DOUBLE AS w FROM {FRAME})"
+#: Normal equations of a parabola by Cramer's rule, about the means of y and its square.
+PARABOLA = f"""WITH m AS (SELECT avg(y) AS a, avg(y * y) AS b, avg(w) AS d FROM {NOISY}),
+    s AS (SELECT covar_pop(y, y) AS p, covar_pop(y, y * y) AS q, covar_pop(y * y, y * y) AS r, covar_pop(y, w) AS u, covar_pop(y * y, w) AS v FROM {NOISY}),
+    k AS (SELECT (u * r - v * q) / (p * r - q * q) AS one, (p * v - q * u) / (p * r - q * q) AS two FROM s)
+    SELECT unnest([0, 1, 2])::INT AS power, unnest([round(d - one * a - two * b, 5), round(one, 5), round(two, 5)])::DOUBLE AS v FROM k, m"""
+
+
+@query("st_polyfit2", PARABOLA)
 def _(spark, sf_dir):
-    fit = stats.polyfit(frame(spark, sf_dir).withColumn("w", 3 * c("y") * c("y") - 2 * c("y") + 0.5), "y", "w", 2)
-    return spark.createDataFrame([(k, round(v, 6) + 0.0) for k, v in enumerate(fit[::-1])], "power int, v double")
+    fit = stats.polyfit(frame(spark, sf_dir).withColumn("w", 3 * c("y") * c("y") - 2 * c("y") + 0.5 + (c("i") % 13 - 6) / 8.0), "y", "w", 2)
+    return spark.createDataFrame([(k, round(v, 5) + 0.0) for k, v in enumerate(fit[::-1])], "power int, v double")
+
 
+#: The same for two regressors and noise; a third that is twice the first has no part of its own.
+PLANE = f"""WITH f AS (SELECT y, z, 4 + 2 * y - 1.5 * z + (i % 13 - 6) / 8.0::DOUBLE AS w FROM {FRAME}),
+    s AS (SELECT avg(y) AS a, avg(z) AS b, avg(w) AS d, covar_pop(y, y) AS p, covar_pop(y, z) AS q, covar_pop(z, z) AS r, covar_pop(y, w) AS u, covar_pop(z, w) AS v FROM f),
+    k AS (SELECT *, (u * r - v * q) / (p * r - q * q) AS one, (p * v - q * u) / (p * r - q * q) AS two FROM s)
+    SELECT unnest([0, 1, 2, 3])::INT AS k, unnest([round(d - one * a - two * b, 5), round(one, 5), round(two, 5), 0])::DOUBLE AS v FROM k"""
 
-@query("st_linfit", "SELECT * FROM (VALUES (0, 4.0::DOUBLE), (1, 2.0::DOUBLE), (2, -1.5::DOUBLE), (3, 0.0::DOUBLE)) t(k, v)")
+
+@query("st_linfit", PLANE)
 def _(spark, sf_dir):
-    t = frame(spark, sf_dir).withColumn("w", 4 + 2 * c("y") - 1.5 * c("z")).withColumn("twice", c("y") * 2)
-    return spark.createDataFrame([(k, round(v, 6) + 0.0) for k, v in enumerate(stats.linfit(t, ["y", "z", "twice"], "w"))], "k int, v double")
+    t = frame(spark, sf_dir).withColumn("w", 4 + 2 * c("y") - 1.5 * c("z") + (c("i") % 13 - 6) / 8.0).withColumn("twice", c("y") * 2)
+    return spark.createDataFrame([(k, round(v, 5) + 0.0) for k, v in enumerate(stats.linfit(t, ["y", "z", "twice"], "w"))], "k int, v double")
+
 
+SINE = f"""WITH f AS (SELECT y, 2.5 * sin(y + 0.7) + (i % 13 - 6) / 64.0::DOUBLE AS w FROM {FRAME}),
+    g AS (SELECT sum(sin(y) * sin(y)) AS p, sum(sin(y) * cos(y)) AS q, sum(cos(y) * cos(y)) AS r, sum(w * sin(y)) AS u, sum(w * cos(y)) AS v FROM f),
+    h AS (SELECT atan2(p * v - q * u, u * r - v * q) AS phase FROM g)
+    SELECT round(any_value(phase), 5) AS phase, round(avg(w / sin(y + phase)) FILTER (abs(sin(y + phase)) > 0.00001), 4) AS amplitude FROM f, h"""
 
-@query("st_sinefit", "SELECT 0.7::DOUBLE AS phase, 2.5::DOUBLE AS amplitude")
+
+@query("st_sinefit", SINE)
 def _(spark, sf_dir):
-    t = frame(spark, sf_dir).withColumn("w", 2.5 * F.sin(c("y") + 0.7))
+    t = frame(spark, sf_dir).withColumn("w", 2.5 * F.sin(c("y") + 0.7) + (c("i") % 13 - 6) / 64.0)
     phase = t.agg(stats.sine_phase(c("y"), c("w")).alias("p")).first()[0]
-    return t.agg(F.round(F.lit(phase), 6).alias("phase"), F.round(stats.amplitude(c("y"), c("w"), F.lit(phase)), 6).alias("amplitude"))
+    return t.agg(F.round(F.lit(phase), 5).alias("phase"), F.round(stats.amplitude(c("y"), c("w"), F.lit(phase)), 4).alias("amplitude"))
 
 
 @query("st_slidingcorr", "WITH d AS (SELECT event_id AS i, value AS x FROM events) SELECT lag, round(corr(a.x, b.x), 6) AS corr FROM range(16) r(lag), d a JOIN d b ON b.i = a.i + lag GROUP BY lag")
@@ -85,19 +116,40 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy("o_totalprice", "o_orderkey").select("o_totalprice", "o_custkey")
 
 
-@query("st_maxindexes")
+#: Peaks of series (k, p, v): for each value above the cutoff that starts an excursion,
+#: the first highest value before the next one below it.  NEXT is the place of that one.
+PEAKS = """(WITH s AS ({series}), n AS (SELECT k, p, v, min(CASE WHEN v < {cut} THEN p END) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop,
+    max(CASE WHEN v < {cut} THEN p END) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM s)
+    SELECT k, first(p ORDER BY v DESC, p) AS i FROM n WHERE v > {cut} AND stop IS NOT NULL GROUP BY k, start, stop)"""
+EVENTS = "SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, {v} AS v FROM events"
+LEVELS = "SELECT e.k, p, {v} AS v FROM (" + EVENTS.format(v="value") + ") e JOIN (SELECT user_id AS k, avg(value) AS mean, {level} AS lvl FROM events GROUP BY user_id) m USING (k)"
+
+
+@query("st_maxindexes", "SELECT k AS user_id, i FROM " + PEAKS.format(series=EVENTS.format(v="value"), cut="20.0"))
 def _(spark, sf_dir):
     return stats.peaks_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 20.0)
 
 
-@query("st_periods")
+@query("st_maxindexes_scaled", "SELECT k AS user_id, i FROM " + PEAKS.format(series=EVENTS.format(v="value * -0.5 + 30"), cut="15.0"))
+def _(spark, sf_dir):
+    return stats.peaks_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 15.0, scale=-0.5, offset=30.0)
+
+
+def _turns(level: str) -> str:
+    """Half-periods (k, length): neighbouring extrema of different kinds; values are scaled so that the cutoff is zero."""
+    up, down = (PEAKS.format(series=LEVELS.format(v=v, level=level), cut="0.0") for v in ("value_", "-value_"))
+    up, down = up.replace("-value_", "lvl - (v - mean)").replace("value_", "v - mean - lvl"), down.replace("-value_", "lvl - (v - mean)")
+    return f"(SELECT k, i - was AS length FROM (SELECT k, i, kind, lag(i) OVER w AS was, lag(kind) OVER w AS old FROM (SELECT k, i, 1 AS kind FROM {up} UNION ALL SELECT k, i, 0 FROM {down}) WINDOW w AS (PARTITION BY k ORDER BY i)) WHERE old <> kind)"
+
+
+@query("st_periods", f"SELECT user_id, coalesce(n, 0)::BIGINT AS n_periods FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT k AS user_id, count(*) AS n FROM {_turns('stddev_pop(value)')} GROUP BY k) USING (user_id)")
 def _(spark, sf_dir):
     return stats.periods_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1.0).select("user_id", "n_periods")
 
 
-@query("st_frequency")
+@query("st_frequency", f"SELECT user_id, coalesce(round(1.0 / m, 9), 'NaN'::DOUBLE) AS frequency FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT k AS user_id, median(length) AS m FROM {_turns('var_pop(value)')} GROUP BY k) USING (user_id)")
 def _(spark, sf_dir):
-    return stats.periods_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1.0).select("user_id", "frequency")
+    return stats.periods_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1.0).select("user_id", F.round("frequency", 9).alias("frequency"))
 
 
 @query("st_mse_f32", f"SELECT round(avg((y::FLOAT - z::FLOAT)::DOUBLE * (y::FLOAT - z::FLOAT)::DOUBLE), 6) AS v FROM {FRAME}")
@@ -127,34 +179,99 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.unix_millis(c("ts").cast("timestamp")).alias("v"))
 
 
-# wide integers: 256 bits; the oracle works in HUGEINT, which the chosen operands stay within
-A, B = lambda: wideint.from_long(c("p_partkey") * 1000003 + 17), lambda: wideint.from_long(c("p_size") * 7919 + 5)
+# wide integers of every width.  The oracle works in HUGEINT: an operand is a * 2**shift + low, whose hex digits are those of a, zeros, and those of low.
+TOP = {128: 40, 192: 104, 256: 168, 384: 296, 512: 424}  # shifts that leave 88 bits above
 SA, SB = "(p_partkey::HUGEINT * 1000003 + 17)", "(p_size::HUGEINT * 7919 + 5)"
+LOW_A, LOW_B = (lambda: c("p_partkey") * 1000003 + 17), (lambda: c("p_size").cast("bigint") * 7919 + 5)
 
 
-def _wide(name, op, sql, b=None, a=None):
-    @query(f"u_{name}", "SELECT p_partkey AS i, lpad(lower(to_hex((" + sql + ")::HUGEINT)), 64, '0') AS v FROM part")
-    def run(spark, sf_dir):
-        return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.apply(op, (a or A)(), (b or B)())).alias("v"))
+def _long(v, bits=256):
+    return wideint.from_long(v, bits, signed=True)
 
 
-small = lambda: wideint.from_long(c("p_size") % 3 + 1)
-_wide("add", "add", f"{SA} + {SB}")
-_wide("sub", "sub", f"{SA} * 100000 - {SB}", a=lambda: wideint.from_long((c("p_partkey") * 1000003 + 17) * 100000))
-_wide("mul", "mul", f"{SA} * {SB}")
-_wide("div", "div", f"{SA} // {SB}")
-_wide("mod", "mod", f"{SA} % {SB}")
-_wide("sdiv", "sdiv", f"{SA} // {SB}")
-_wide("smod", "smod", f"{SA} % {SB}")
+def _hex_sql(v: str, bits: int = 256) -> str:
+    """Two's complement of a value that fits in a HUGEINT, a negative one above -2**63."""
+    n = bits // 4
+    return f"CASE WHEN ({v}) < 0 THEN repeat('f', {n - 16}) || lpad(lower(to_hex((18446744073709551616::HUGEINT + ({v}))::HUGEINT)), 16, '0') ELSE lpad(lower(to_hex(({v})::HUGEINT)), {n}, '0') END"
+
+
+def _wide(name, op, sql, a=None, b=None, bits=256):
+    """sql: the value, or, with a leading hex:, its digits."""
+    digits = sql[4:] if sql.startswith("hex:") else _hex_sql(sql, bits)
+
+    @query(f"u_{name}", f"SELECT p_partkey AS i, {digits} AS v FROM part")
+    def run(spark, sf_dir):
+        x, y = (a or (lambda: _long(LOW_A(), bits)))(), (b or (lambda: _long(LOW_B(), bits)))()
+        return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.apply(op, x, y, bits)).alias("v"))
+
+
+def _shifted(v, shift, bits):
+    """v * 2**shift, made of its hex digits."""
+    return wideint.parse_hex(F.concat(F.hex(v), F.lit("0" * (shift // 4))), bits)
+
+
+def _digits(v: str, shift: int, low: str, bits: int) -> str:
+    """Hex digits of v * 2**shift + low, low below 2**shift."""
+    return f"hex:lpad(lower(to_hex({v})) || lpad(lower(to_hex({low})), {shift // 4}, '0'), {bits // 4}, '0')"
+
+
+# operands may be negative or zero: half of the dividends are negative, a seventh of the divisors zero, a fifth negative
+SIGNED_A, ZERO_B = "(CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END * " + SA + ")", "(CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END * " + SB + ")"
+signed_a = lambda: F.when(c("p_partkey") % 2 == 0, -LOW_A()).otherwise(LOW_A())
+zero_b = lambda: F.when(c("p_partkey") % 7 == 0, 0).when(c("p_partkey") % 5 == 0, -LOW_B()).otherwise(LOW_B())
+plain_b = lambda: F.when(c("p_partkey") % 7 == 0, 0).otherwise(LOW_B())
+PLAIN_B = f"(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE {SB} END)"
+small = lambda bits=256: _long(c("p_size") % 3 + 1, bits)
+for bits, shift in TOP.items():
+    tag = "" if bits == 256 else f"{bits}_"
+    high = lambda bits=bits, shift=shift: wideint.apply("or", _shifted(LOW_A(), shift, bits), _long(LOW_B(), bits), bits)
+    HIGH = lambda v, low, bits=bits, shift=shift: _digits(v, shift, low, bits)
+    at = lambda n, bits=bits: lambda: _long(F.lit(n).cast("bigint"), bits)
+    _wide(tag + "add", "add", HIGH(f"{SA} + {SA}", f"{SB} + {SB}"), a=high, b=high, bits=bits)
+    _wide(tag + "sub", "sub", f"{SIGNED_A} - {SB}", a=lambda bits=bits: _long(signed_a(), bits), bits=bits)
+    _wide(tag + "mul", "mul", HIGH(f"{SA} * {SB}", f"{SB} * {SB}"), a=high, bits=bits)
+    _wide(tag + "mul_signed", "mul", f"{SIGNED_A} * p_size", a=lambda bits=bits: _long(signed_a(), bits), b=lambda bits=bits: _long(c("p_size"), bits), bits=bits)
+    _wide(tag + "div", "div", f"hex:CASE WHEN {PLAIN_B} = 0 THEN repeat('0', {bits // 4}) ELSE lpad(lower(to_hex({SA} // {SB})), {bits // 4}, '0') END", a=lambda bits=bits, shift=shift: _shifted(LOW_A(), shift, bits),
+          b=lambda bits=bits, shift=shift: _shifted(plain_b(), shift, bits), bits=bits)
+    _wide(tag + "mod", "mod", f"hex:CASE WHEN {PLAIN_B} = 0 THEN repeat('0', {bits // 4}) ELSE lpad(lower(to_hex({SA} % {SB})) || repeat('0', {shift // 4}), {bits // 4}, '0') END",
+          a=lambda bits=bits, shift=shift: _shifted(LOW_A(), shift, bits), b=lambda bits=bits, shift=shift: _shifted(plain_b(), shift, bits), bits=bits)
+    _wide(tag + "sdiv", "sdiv", f"CASE WHEN {ZERO_B} = 0 THEN 0 ELSE {SIGNED_A} // nullif({ZERO_B}, 0) END", a=lambda bits=bits: _long(signed_a(), bits), b=lambda bits=bits: _long(zero_b(), bits), bits=bits)
+    _wide(tag + "smod", "smod", f"CASE WHEN {ZERO_B} = 0 THEN 0 ELSE {SIGNED_A} % nullif({ZERO_B}, 0) END", a=lambda bits=bits: _long(signed_a(), bits), b=lambda bits=bits: _long(zero_b(), bits), bits=bits)
+    _wide(tag + "shl", "shl", f"hex:lpad(lower(to_hex({SA})) || repeat('0', {shift // 4}), {bits // 4}, '0')", b=at(shift), bits=bits)
+    _wide(tag + "shr", "shr", SA, a=high, b=at(shift), bits=bits)
+    _wide(tag + "sar", "sar", f"CASE WHEN p_partkey % 2 = 0 THEN -(({SA} + 4095) // 4096) ELSE {SA} // 4096 END", a=lambda bits=bits: _long(signed_a(), bits), b=at(12), bits=bits)
+    _wide(tag + "setbit", "set_bit", _digits("1::HUGEINT", shift + 60, SA, bits), b=at(shift + 60), bits=bits)
 _wide("pow", "pow", f"CASE p_size % 3 + 1 WHEN 1 THEN {SA} WHEN 2 THEN {SA} * {SA} ELSE {SA} * {SA} * {SA} END", b=small)
-_wide("root", "root", "p_partkey", a=lambda: wideint.apply("mul", wideint.from_long(c("p_partkey")), wideint.from_long(c("p_partkey"))), b=lambda: wideint.from_long(F.lit(2).cast("bigint")))
+_wide("pow_wide", "pow", "hex:lpad(CASE p_size % 3 + 1 WHEN 1 THEN '1' || repeat('0', 15) WHEN 2 THEN '1' || repeat('0', 30) ELSE '1' || repeat('0', 45) END, 64, '0')", a=lambda: _shifted(F.lit(1), 60, 256), b=small)
+_wide("root", "root", "p_partkey", a=lambda: wideint.apply("mul", _long(c("p_partkey")), _long(c("p_partkey"))), b=lambda: _long(F.lit(2).cast("bigint")))
 _wide("and", "and", f"{SA} & {SB}")
 _wide("or", "or", f"{SA} | {SB}")
 _wide("xor", "xor", f"xor({SA}, {SB})")
-_wide("shl", "shl", f"{SA} * 4096", b=lambda: wideint.from_long(F.lit(12).cast("bigint")))
-_wide("shr", "shr", f"{SA} // 4096", b=lambda: wideint.from_long(F.lit(12).cast("bigint")))
-_wide("sar", "sar", f"{SA} // 4096", b=lambda: wideint.from_long(F.lit(12).cast("bigint")))
-_wide("setbit", "set_bit", f"{SA} | 1099511627776::HUGEINT", b=lambda: wideint.from_long(F.lit(40).cast("bigint")))
+
+
+@query("u_not", f"SELECT p_partkey AS i, {_hex_sql(f'-{SA} - 1')} AS v FROM part")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.invert(_long(LOW_A()))).alias("v"))
+
+
+@query("u_getbit", f"SELECT p_partkey AS i, (({SA} >> (p_partkey % 40)::INT) & 1) = 1 AS v, p_partkey % 2 = 0 AS sign FROM part")
+def _(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    return t.select(c("p_partkey").alias("i"), wideint.get_bit(_long(LOW_A()), (c("p_partkey") % 40).cast("int")).alias("v"), wideint.get_bit(_long(signed_a()), F.lit(255)).alias("sign"))
+
+
+@query("u_bytes", f"SELECT p_partkey AS i, {_hex_sql(SA)} AS big, {_hex_sql(SA)} AS back FROM part")
+def _(spark, sf_dir):
+    """Byte strings in either order, and digits beyond the width, of which the leading ones stay."""
+    a = _long(LOW_A())
+    little = wideint.from_bytes(wideint.to_bytes(a, little=True), little=True)
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(little).alias("big"), wideint.to_hex(wideint.parse_hex(F.concat(F.lit("0x"), wideint.to_hex(a), F.lit("123")))).alias("back"))
+
+
+@query("u_signed_less", f"SELECT p_partkey AS i, {SIGNED_A} < {ZERO_B} AS v, CASE WHEN ({SIGNED_A} < 0) = ({ZERO_B} < 0) THEN {SIGNED_A} < {ZERO_B} ELSE {SIGNED_A} > 0 OR {ZERO_B} < 0 END AS plain FROM part")
+def _(spark, sf_dir):
+    a, b = _long(signed_a()), _long(zero_b())
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.less_than(a, b, signed=True).alias("v"), wideint.less_than(a, b).alias("plain"))
 
 
 @query("u_parse", "SELECT p_partkey AS i, lpad(lower(hex(p_partkey)), 64, '0') AS v FROM part")
@@ -186,10 +303,18 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), F.when(a > wideint.from_long(F.lit(255).cast("bigint")), 255).otherwise(low).cast("int").alias("v"))
 
 
-@query("u_double", "SELECT p_partkey AS i, floor(p_partkey * 1.5::DOUBLE)::BIGINT AS v FROM part")
+@query("u_double", f"SELECT p_partkey AS i, {SA}::DOUBLE * power(2.0::DOUBLE, 168) AS v, floor({SA}::DOUBLE * 1.5)::HUGEINT::VARCHAR AS half_more FROM part")
+def _(spark, sf_dir):
+    """To a double beyond 64 bits, and a product with one: the floor, back as a whole number."""
+    product = wideint.from_double(F.floor(wideint.to_double(_long(LOW_A())) * 1.5).cast("double"))
+    low = F.conv(F.hex(F.substring(product, 25, 8)), 16, 10)
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_double(_shifted(LOW_A(), 168, 256)).alias("v"), low.alias("half_more"))
+
+
+@query("u_from_double", f"SELECT p_partkey AS i, lpad(lower(to_hex({SA})) || repeat('0', 40), 64, '0') AS v, {_hex_sql('-p_partkey - 1')} AS negative FROM part")
 def _(spark, sf_dir):
-    low = F.conv(F.hex(F.substring(wideint.from_long(c("p_partkey")), 25, 8)), 16, 10).cast("double")
-    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), F.floor(low * 1.5).alias("v"))
+    x = LOW_A().cast("double") * float(1 << 160)
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("i"), wideint.to_hex(wideint.from_double(x)).alias("v"), wideint.to_hex(wideint.from_double(-c("p_partkey") - 1.75)).alias("negative"))
 
 
 @query("u_sum", "SELECT p_size AS k, lpad(lower(hex(sum(p_partkey)::BIGINT)), 64, '0') AS v FROM part GROUP BY p_size")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ieee, wideint
+from ..functions.dtypes import DType
 from ..operators import arrays
+from ..operators.typed import NDArray
 from .elementwise import FRAME, frame
 from .registry import query, table
 
@@ -94,11 +96,10 @@ def _(spark, sf_dir):
     return arrays.permute(t, ["i", "k", "m"], [2, 0, 1])
 
 
-@query("view_reshape", f"SELECT (i * 64 + k) // 256 AS i0, ((i * 64 + k) // 16) % 16 AS i1, (i * 64 + k) % 16 AS i2, v FROM {COO} WHERE i < (SELECT count(*) // 4 * 4 FROM embeddings)")
+@query("view_reshape", f"SELECT (i * 64 + k) // 64 AS i0, ((i * 64 + k) // 16) % 4 AS i1, (i * 64 + k) % 16 AS i2, v FROM {COO}")
 def _(spark, sf_dir):
-    t = coo(spark, sf_dir)
-    n = table(spark, sf_dir, "embeddings").count() // 4 * 4
-    return arrays.reshape(t.where(c("i") < n), ["i", "k"], [n, 64], [n // 4, 16, 16])
+    n = table(spark, sf_dir, "embeddings").count()
+    return arrays.reshape(coo(spark, sf_dir), ["i", "k"], [n, 64], [n, 4, 16])
 
 
 @query("view_broadcast", f"SELECT i, k, a FROM {FRAME}, range(4) r(k)")
@@ -111,11 +112,15 @@ def _(spark, sf_dir):
     return frame(spark, sf_dir).select("i", "y")
 
 
-@query("view_equal", "SELECT true AS same, false AS other")
+@query("view_equal", f"SELECT bool_and(y = y + 0.0) AS same, bool_and(y = z) AS other, false AS typed, false AS shaped, bool_and(y <> 0) AS signed FROM {FRAME}")
 def _(spark, sf_dir):
     a = frame(spark, sf_dir)
-    bits = lambda x: F.hex(F.to_binary(F.hex(x.cast("string")), F.lit("hex")))
-    return a.agg((F.count_if(bits(c("y")) != bits(c("y") + 0.0)) == 0).alias("same"), (F.count_if(bits(c("y")) != bits(c("z"))) == 0).alias("other"))
+    n = a.count()
+    of = lambda value, dtype=DType.F64, shape=None: NDArray(a, ["i"], shape or [n], value, dtype)
+    y = of(c("y"))
+    turned = of(F.when(c("y") == 0, -0.0).otherwise(c("y")))  # not the same where there is a zero
+    got = (y.equal(of(c("y") + 0.0)), y.equal(of(c("z"))), y.equal(of(c("y").cast("float"), DType.F32)), y.equal(of(c("y"), shape=[n + 1])), y.equal(turned))
+    return spark.createDataFrame([got], "same boolean, other boolean, typed boolean, shaped boolean, signed boolean")
 
 
 MEANS = f"(SELECT k, avg(v) AS m FROM {COO} GROUP BY k)"
@@ -209,24 +214,41 @@ for name, (f, s) in SCORES.items():
         return pairs(spark, sf_dir).select("vec_id", r6(f(c("x"), c("y"))).alias("v"))
 
 
-def _bits(x):
-    return F.aggregate(F.transform(x, lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(0)), F.lit(0).cast("bigint"), lambda s, v: s.bitwiseOR(v))
+#: The same beside itself, so that vectors are longer than a word of bits.
+LONGER = "(SELECT vec_id, list_concat(x, y) AS x, list_concat(y, x) AS y FROM " + PAIR + ")"
+
+
+def longer(spark, sf_dir):
+    return pairs(spark, sf_dir).select("vec_id", F.concat("x", "y").alias("x"), F.concat("y", "x").alias("y"))
+
+
+for name, f, s in (("sc_hamming", arrays.hamming, "(p[1] > 0) <> (p[2] > 0)"), ("sc_bin_dot", arrays.bin_dot, "p[1] > 0 AND p[2] > 0")):
+
+    @query(f"{name}_long", f"SELECT vec_id, len(list_filter(list_zip(x, y), lambda p: {s}))::INT AS v FROM {LONGER}")
+    def _(spark, sf_dir, f=f):
+        return longer(spark, sf_dir).select("vec_id", f(c("x"), c("y")).cast("int").alias("v"))
 
 
 @query("sc_hamming", f"SELECT vec_id, len(list_filter(list_zip(x, y), lambda p: (p[1] > 0) <> (p[2] > 0)))::INT AS v FROM {PAIR}")
 def _(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.bit_count(_bits(c("x")).bitwiseXOR(_bits(c("y")))).cast("int").alias("v"))
+    return pairs(spark, sf_dir).select("vec_id", arrays.hamming(c("x"), c("y")).cast("int").alias("v"))
 
 
 @query("sc_bin_dot", f"SELECT vec_id, len(list_filter(list_zip(x, y), lambda p: p[1] > 0 AND p[2] > 0))::INT AS v FROM {PAIR}")
 def _(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.bit_count(_bits(c("x")).bitwiseAND(_bits(c("y")))).cast("int").alias("v"))
+    return pairs(spark, sf_dir).select("vec_id", arrays.bin_dot(c("x"), c("y")).cast("int").alias("v"))
 
 
 @query("sc_dot_int8", f"SELECT vec_id, list_sum(list_transform(list_zip(x, y), lambda p: trunc(p[1] * 100)::BIGINT * trunc(p[2] * 100)::BIGINT))::BIGINT AS v FROM {PAIR}")
 def _(spark, sf_dir):
     q = lambda x: F.transform(x, lambda v: (v.cast("double") * 100).cast("int"))
-    return pairs(spark, sf_dir).select("vec_id", arrays.dot(q(c("x")), q(c("y"))).cast("bigint").alias("v"))
+    return pairs(spark, sf_dir).select("vec_id", arrays.whole_dot(q(c("x")), q(c("y"))).cast("bigint").alias("v"))
+
+
+@query("sc_dot_int64", f"SELECT vec_id, list_sum(list_transform(list_zip(x, y), lambda p: trunc(p[1] * 100)::HUGEINT * 10000000000000 * trunc(p[2] * 100)::HUGEINT * 1000000000))::VARCHAR AS v FROM {PAIR}")
+def _(spark, sf_dir):
+    q = lambda x, k: F.transform(x, lambda v: (v.cast("double") * 100).cast("bigint") * k)
+    return pairs(spark, sf_dir).select("vec_id", arrays.whole_dot(q(c("x"), 10000000000000), q(c("y"), 1000000000)).cast("string").alias("v"))
 
 
 # linear algebra
@@ -298,11 +320,20 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(arrays.gemv_scaled(c("embedding"), x64(), scales, 16)).alias("v"))
 
 
-@query("la_zero_k", "SELECT DISTINCT p_size AS i, 0::BIGINT AS v FROM part")
+@query("la_zero_k", "SELECT a.range AS i, b.range AS j, 0::INT AS v FROM range(50) a, range(3) b")
 def _(spark, sf_dir):
-    a = grid(spark, sf_dir)
-    none = a.where("false").groupBy("i").agg(F.sum("v").alias("v"))
-    return a.select("i").distinct().join(none, "i", "left").select("i", F.coalesce("v", F.lit(0)).cast("bigint").alias("v"))
+    """The product over an empty axis."""
+    zero = NDArray.full(spark, [50, 0], 2, DType.INT8).matmul(NDArray.full(spark, [0, 3], 2, DType.INT8))
+    return zero.df.select(c(zero.axes[0]).alias("i"), c(zero.axes[1]).alias("j"), zero.value.alias("v"))
+
+
+GROUPS = [(0, 24), (24, 48), (48, 64)]
+
+
+@query("la_gemv_scaled_uneven", "SELECT vec_id, round(" + " + ".join(f"{s} * list_dot_product(embedding[{a + 1}:{b}]::DOUBLE[], {X64}[{a + 1}:{b}])" for (a, b), s in zip(GROUPS, (0.5, 2.0, -1.0))) + ", 6) AS v FROM embeddings")
+def _(spark, sf_dir):
+    scales = F.array(*[F.lit(s) for s in (0.5, 2.0, -1.0)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", r6(arrays.gemv_scaled(c("embedding"), x64(), scales, 24)).alias("v"))
 
 
 @query("mm_matmul", f"SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE AS v FROM {GRID} a JOIN {GRID} b USING (k) GROUP BY a.i, b.i")

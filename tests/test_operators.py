@@ -84,7 +84,7 @@ def test_ceiling_lookups(spark):
     keys = rng.sample(range(-100_000, 100_000), 1500)
     probes = [rng.randint(-101_000, 101_000) for _ in range(1000)] + keys[:20]
     k, p = spark.createDataFrame([(x,) for x in keys], "k long"), spark.createDataFrame([(x,) for x in probes], "x long")
-    got = {r["x"]: r["found"] for r in ordered.ceiling(p, k, "x", "k", ordered.quantile_bounds(k, "k", 8)).collect()}
+    got = {r["x"]: r["found"] for r in ordered.ceiling(p, k, "x", "k", 8).collect()}
     assert got == {x: min((y for y in keys if y >= x), default=None) for x in probes}
 
 
@@ -120,16 +120,136 @@ def test_statistics(spark):
 def test_wide_integers(spark):
     rng = random.Random(2)
     n = 256
-    pairs = [(rng.getrandbits(n), rng.getrandbits(rng.choice([8, 60, 256]))) for _ in range(30)] + [(5, 0), ((1 << n) - 7, 3)]
+    pairs = [(rng.getrandbits(n), rng.getrandbits(rng.choice([8, 60, 256]))) for _ in range(30)] + [(5, 0), ((1 << n) - 7, 3), (1 << n - 1, (1 << n) - 1), (0, 0), (1 << n - 1, 255), ((1 << n) - 9, (1 << n) - 2)]
     df = spark.createDataFrame([(bytearray(a.to_bytes(32, "big")), bytearray(b.to_bytes(32, "big"))) for a, b in pairs], "a binary, b binary")
-    for op in ("add", "sub", "mul", "div", "mod", "sdiv", "smod", "and", "or", "xor"):
+    signed = lambda x: x - (1 << n) if x >> n - 1 else x
+    cut = lambda x, y: (abs(x) // abs(y)) * (-1 if (x < 0) != (y < 0) else 1)
+    plain = {
+        "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a // b if b else 0, "mod": lambda a, b: a % b if b else 0,
+        "sdiv": lambda a, b: cut(signed(a), signed(b)) if b else 0, "smod": lambda a, b: signed(a) - signed(b) * cut(signed(a), signed(b)) if b else 0, "and": lambda a, b: a & b,
+        "or": lambda a, b: a | b, "xor": lambda a, b: a ^ b, "shl": lambda a, b: a << b if b < n else 0, "shr": lambda a, b: a >> b if b < n else 0,
+        "sar": lambda a, b: signed(a) >> min(b, n), "set_bit": lambda a, b: a | 1 << b if b < n else a,
+    }
+    for op, f in plain.items():
         got = [int.from_bytes(r[0], "big") for r in df.select(wideint.apply(op, F.col("a"), F.col("b"))).collect()]
-        assert got == [wideint.OPS[op](a, b, n) % (1 << n) for a, b in pairs], op
+        assert got == [f(a, b) % (1 << n) for a, b in pairs], op
     assert [r[0] for r in df.select(F.col("a") < F.col("b")).collect()] == [a < b for a, b in pairs]
     assert [r[0] for r in df.select(wideint.bit_count(F.col("a"))).collect()] == [a.bit_count() for a, _ in pairs]
     assert wideint.root(10**40, 2) == 10**20 and wideint.root(10**40 - 1, 2) == 10**20 - 1
 
 
+def test_wide_integers_of_other_widths_and_conversions(spark):
+    rng = random.Random(5)
+    for n in wideint.WIDTHS:
+        pairs = [(rng.getrandbits(n), rng.getrandbits(rng.choice([5, 40, n]))) for _ in range(12)] + [((1 << n) - 1, 1), (0, 0), (1 << n - 1, n - 1)]
+        df = spark.createDataFrame([(a.to_bytes(n // 8, "big"), b.to_bytes(n // 8, "big")) for a, b in pairs], "a binary, b binary")
+        a, b = F.col("a"), F.col("b")
+        for op, f in (("add", lambda x, y: x + y), ("mul", lambda x, y: x * y), ("shl", lambda x, y: x << y if y < n else 0), ("div", lambda x, y: x // y if y else 0)):
+            assert [int.from_bytes(r[0], "big") for r in df.select(wideint.apply(op, a, b, n)).collect()] == [f(x, y) % (1 << n) for x, y in pairs], (n, op)
+        sign = lambda x: x - (1 << n) if x >> n - 1 else x
+        got = df.select(wideint.invert(a, n), wideint.less_than(a, b, True), wideint.to_double(a, n), wideint.bit_count(a, n), wideint.bit_length(a, n), wideint.get_bit(a, F.lit(9), n), wideint.from_bytes(wideint.to_bytes(a, True), n, True))
+        for (x, y), r in zip(pairs, got.collect()):
+            assert int.from_bytes(r[0], "big") == x ^ (1 << n) - 1 and r[1] == (sign(x) < sign(y)) and math.isclose(r[2], float(x), rel_tol=1e-15) and bytes(r[6]) == x.to_bytes(n // 8, "big")
+            assert (r[3], r[4], r[5]) == (x.bit_count(), x.bit_length(), bool(x >> 9 & 1))
+        chained = df.select(wideint.apply("mul", wideint.apply("add", a, b, n), wideint.apply("xor", a, b, n), n)).collect()
+        assert [int.from_bytes(r[0], "big") for r in chained] == [(x + y) * (x ^ y) % (1 << n) for x, y in pairs]
+    doubles = [0.0, 1.9, -1.9, 1e60, -3e40, 2.0**255, 1e300, NAN, INF]
+    got = spark.createDataFrame([(x,) for x in doubles] + [(None,)], "x double").select(wideint.from_double(F.col("x"))).collect()
+    assert [int.from_bytes(r[0], "big") for r in got[:-1]] == [int(x) % (1 << 256) if math.isfinite(x) else 0 for x in doubles] and got[-1][0] is None
+
+
+def test_nearest_in_a_radix_tree(spark):
+    rng = random.Random(8)
+    word = lambda: bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(0, 7)))
+    keys, probes = {word() for _ in range(40)}, {word() for _ in range(200)} | {b""}
+    k, p = (spark.createDataFrame([(bytearray(x),) for x in v], f"{c} binary") for v, c in ((keys, "k"), (probes, "p")))
+
+    def plain(probe):
+        if not probe:
+            return b"", "invalid key"
+        full = [x for x in keys if x]
+        paths = {x[:n] for x in full for n in range(len(x) + 1)} | {b""}
+        best = max((probe[:n] for n in range(len(probe) + 1) if probe[:n] in paths), key=len)
+        node = best in full or best == b"" or len({x[len(best)] for x in full if x.startswith(best) and len(x) > len(best)}) > 1
+        return best, "exact" if node and best == probe else "empty entry" if node else "to split"
+
+    got = {bytes(r["p"]): (bytes(r["prefix"]), r["outcome"]) for r in ordered.nearest(p, k, "p", "k").collect()}
+    assert {x: got[x] for x in probes if x} == {x: plain(x) for x in probes if x} and got[b""][1] == "invalid key"
+    assert [r["outcome"] for r in ordered.nearest(p.where("p = X'61'").union(spark.createDataFrame([(bytearray(b"a"),)], "p binary")), k.limit(0), "p", "k").collect()] == ["empty entry"]
+
+
+def test_positions_and_ceilings_of_repeated_rows(spark):
+    rows = [(k % 3, k) for k in range(50)] + [(1, k) for k in range(500)]
+    got = ordered.positions(spark.createDataFrame(rows, "a int, b int"), ["a", "b"], "pos").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["pos"])] == sorted(rows) and sorted(r["pos"] for r in got) == list(range(1, len(rows) + 1))
+    keys, probes = [5] * 300 + [9, 40], [5] * 200 + [6, 9, 10, 41, -3]
+    k, p = spark.createDataFrame([(x,) for x in keys], "k int"), spark.createDataFrame([(x,) for x in probes], "x int")
+    found = ordered.ceiling(p, k, "x", "k")
+    assert sorted((r["x"], r["found"]) for r in found.collect() if r["found"]) == [(-3, 5), (5, 5), (6, 9), (9, 9), (10, 40)] and found.count() == 6
+    assert {r["found"] for r in ordered.ceiling(p, k.limit(0), "x", "k").collect()} == {None} and ordered.ceiling(p.limit(0), k, "x", "k").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cross" not in plan
+
+
+def test_best_fit_extends_the_file(spark):
+    regions = spark.createDataFrame([(0, 4096), (8192, 1024)], "offset long, size long")
+    assert tuple(ordered.best_fit(regions, 2000, 9999).first()) == (0, 4096) and tuple(ordered.best_fit(regions, 5000, 9999).first()) == (10000, 5000)
+
+
+def test_median_by_ranges(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 7, 1000):
+        xs = [round(rng.gauss(0, 3), rng.choice([0, 3])) for _ in range(n)] + [NAN, INF]
+        got = stats.median(spark.createDataFrame([(x,) for x in xs], "x double").repartition(3), "x").first()[0]
+        import statistics
+
+        assert got == statistics.median(xs[:-2])
+    assert math.isnan(stats.median(spark.createDataFrame([(NAN,), (None,)], "x double"), "x").first()[0])
+
+
+def test_peaks_by_windows(spark):
+    """Against a walk along the series."""
+    rng = random.Random(12)
+    series = {k: [rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0, 3.0, NAN]) for _ in range(rng.randint(1, 60))] for k in range(20)}
+    df = spark.createDataFrame([(k, i, v) for k, xs in series.items() for i, v in enumerate(xs)], "k long, i long, v double")
+    want = set()
+    for k, xs in series.items():
+        high = None
+        for i, v in enumerate(xs):
+            if v > 1 and (high is None or v > xs[high]):
+                high = i
+            if v < 1 and high is not None:
+                want.add((k, high))
+                high = None
+    assert {(r["k"], r["i"]) for r in stats.peaks_per_key(df, "k", "i", "v", 1.0).collect()} == want
+    assert {(r["k"], r["i"]) for r in stats.peaks_per_key(df, "k", "i", "v", 5.0, scale=2.0, offset=3.0).collect()} == want
+    assert {(k, i) for k, xs in series.items() for i in stats.peaks(xs, 1.0)} == want
+
+
+def test_scores_check_lengths_and_hold_long_vectors(spark):
+    df = spark.createDataFrame([([1.0] * 65, [1.0] * 64 + [-1.0]), ([1.0] * 130, [1.0] * 130)], "x array<double>, y array<double>")
+    x, y = F.col("x"), F.col("y")
+    assert [tuple(r) for r in df.select(arrays.hamming(x, y), arrays.bin_dot(x, y)).collect()] == [(1, 64), (0, 130)]
+    whole = spark.createDataFrame([([(1 << 62) + 1, 3], [3, 5])], "x array<bigint>, y array<bigint>").select(arrays.whole_dot(x, y)).first()[0]
+    assert int(whole) == ((1 << 62) + 1) * 3 + 15
+    uneven = spark.createDataFrame([([1.0, 2.0], [1.0])], "x array<double>, y array<double>")
+    for f in (arrays.dot, arrays.l2sq, arrays.hamming, arrays.whole_dot):
+        with pytest.raises(Exception, match="lengths differ"):
+            uneven.select(f(x, y)).collect()
+
+
+def test_stream_state_is_bounded_by_the_watermark(spark, tmp_path):
+    from sparkloom.streaming import running
+
+    rows = [(f"2024-01-0{1 + d} {h:02d}:30:00", e, float(h)) for d in range(3) for h in range(0, 24, 5) for e in ("a", "b")]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for k in range(3):
+        df.where(F.dayofmonth("ts") == k + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = running.run_once(running.windowed(stream, watermark="2 days"), str(tmp_path / "out"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, running.windowed(df).select(*got.columns).collect()))
+
+
 def test_byte_strings(spark):
     sizes = [0, 1, 127, 128, 32255, 32256, 65535, 65536, 100_000]
     df = spark.createDataFrame([(bytearray(b"x" * n),) for n in sizes], "b binary")
@@ -138,9 +258,26 @@ def test_byte_strings(spark):
         assert r["same"] and len(h) == (1 if n < 128 else 2 if n < 32256 else 3 if n < 65536 else 4)
 
 
+def plain_dump(b, columns):
+    if b is None or not b:
+        return "(null)" if b is None else "(empty)"
+    width = len(b) if columns == -1 or columns >= len(b) else columns
+    lines = []
+    for at in range(0, len(b), width):
+        part = b[at : at + width]
+        text = "".join(chr(x) if 32 <= x <= 126 else "." for x in part)
+        lines.append("".join(" " * (k > 0 and k % 8 == 0) + f"{x:02x} " for k, x in enumerate(part)) + f" |{text}|")
+    return lines[0] if len(lines) == 1 else "".join(f"{k * width:04x}  {line}\n" for k, line in enumerate(lines))
+
+
 def test_hex_dump(spark):
-    got = spark.createDataFrame([(bytearray(b"ab\x00" * 6),)], "b binary").select(files.hex_dump(F.col("b"))).first()[0]
-    assert got.split("\n")[0].startswith("00000000  61 62 00") and got.split("\n")[1].startswith("00000010") and got.endswith("|b.|")
+    values = [b"ab\x00" * 6, b"", None, b"x", bytes(range(256)), b"12345678", b"123456789", b"a\nb|c\xff" * 5]
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in enumerate(values)], "k int, b binary")
+    for columns in (16, 8, 5, 64, -1):
+        assert [r[1] for r in df.select("k", files.hex_dump(F.col("b"), columns)).orderBy("k").collect()] == [plain_dump(v, columns) for v in values], columns
+    short = spark.createDataFrame([(bytearray(b"ab"),)], "b binary")
+    with pytest.raises(Exception, match="fewer bytes"):
+        files.wrap_bytes(short, "b", 3, 4).collect()
 
 
 def test_periods_of_a_sine(spark):
