@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
 
 
+_open_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope(keep: str = ""):
+    """Tables made within are deleted at the end, but for those of that name: for a
+    caller who has written what depends on them."""
+    made: list[DataFrame] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+        for df in made:
+            if f"/sparkloom-{keep}-" in df._sparkloom_path:
+                if _open_scopes:
+                    _open_scopes[-1].append(df)
+            else:
+                release(df)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a
     lost executor costs no more than the read of the files."""
@@ -41,6 +63,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
+    if _open_scopes:
+        _open_scopes[-1].append(out)
     return out
 
 

@@ -12,7 +12,7 @@ A stated query set meets all blocks: index rows and queries are both dealt in
 bounded groups (block, chunk of queries), so no task grows with the tables, and
 each group returns k rows per query.  Equal vectors are one entry of a block with
 its ids in order, so a vector that a third of the rows share takes no more than
-one candidate.  The share of a block that a query measures, SHARE, is a fixed
+one candidate; rows are dealt by id and vector, so one id's rows are split too.  The share of a block that a query measures, SHARE, is a fixed
 parameter: embeddings with hardly any structure (nearest at 1.1, median at 1.4)
 need that much for a recall of 0.9.
 
@@ -151,7 +151,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES
     shared = spark.sparkContext.broadcast(planes(sample, trees, bits))
     blocks, chunks = -(-rows // block_rows), -(-max(1, queries.count()) // CHUNK)
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = index.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), number(chunks).alias("chunk"))
+    dealt = index.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), number(chunks).alias("chunk"))
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), number(blocks).alias("block"))
     found = (
         dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk"))

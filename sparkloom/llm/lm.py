@@ -337,8 +337,12 @@ def _score_blocks(weights, types: int, total: int):
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    What is sent has a row per block, order and bucket.  A bucket's entries must fit in
+    a reducer, BUCKET_BYTES of text each in one of three gigabytes; larger executors
+    take larger bucket_bytes, and rows fall in proportion."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), TEST_OF).cast("int").alias("five"), fold(F.col("doc_id"), DEV_OF).cast("int").alias("fifty"),
         F.col("text").cast("string").alias("text"),
@@ -346,7 +350,7 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = materialize(rows.mapInArrow(_token_batches, TOKENS), "blocks")
     size, n_blocks = blocks.agg(F.sum("bytes"), F.count("*")).first()
     size, parts = size or 0, -(-n_blocks // BLOCKS_A_TASK) or 1
-    bits = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES) - 1).bit_length()
+    bits = max(LEAST_BUCKETS, -(-size // bucket_bytes) - 1).bit_length()
     sent = blocks.mapInArrow(_key_batches(64 - bits), "order int, bucket int, block string, dev boolean, n int, keys binary, counts binary")
     answers = sent.groupBy("order", "bucket").applyInPandas(
         _add_up, "order int, bucket int, block string, dev boolean, n int, total binary, deleted binary, v long, tokens long, dev_tokens long"

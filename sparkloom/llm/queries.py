@@ -14,5 +14,6 @@ QUERIES = {
     "op8_spans": licenses.op8_spans,
     "op9_packing": packing.op9_packing,
     "op10_rules": rules.op10_rules,
+    "rule_ablations": rules.rule_ablations,
 }
-ORACLE_SQL = {"op6_warc": warc.OP6_SQL, "op8_licenses": licenses.OP8_SQL, "op10_rules": rules.OP10_SQL}
+ORACLE_SQL = {"op6_warc": warc.OP6_SQL, "op8_licenses": licenses.OP8_SQL, "op10_rules": rules.OP10_SQL, "rule_ablations": rules.ABLATIONS_SQL}

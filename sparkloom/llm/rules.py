@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import table
 
@@ -151,23 +152,28 @@ def ablations(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     return book.agg(*sums).selectExpr(f"stack({len(used)}, {stack}) as (rule, n_failed, n_failed_alone, n_kept_without)")
 
 
-def _keep_batches(batches):
-    """Whole rows that pass; the rules run on Python's side of the same pass."""
-    import pyarrow as pa
+def _measured_batches(text: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = np.array([measure(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(rows[:, k]) for k in range(rows.shape[1]))], names=[*b.schema.names, *MEASURES])
+
+    return run
 
-    mask = POLICIES[PRODUCTION]
-    checks = [(BIT[name], compile(fails, name, "eval")) for name, fails in RULES if BIT[name] & mask]
-    for b in batches:
-        keep = []
-        for t in b.column(b.schema.get_field_index("text")):
-            seen = dict(zip(MEASURES, measure(t.as_py())))
-            keep.append(not any(eval(check, {}, seen) for _, check in checks))
-        yield b.filter(pa.array(keep, pa.bool_()))
 
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows of docs, in the struct row, with their measurements and failed_bits: a ledger beside its documents."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([*packed.schema, *(StructField(m, LongType()) for m in MEASURES)])
+    return with_bits(packed.mapInArrow(_measured_batches(1), schema)).drop("text")
 
-def keep_passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the production policy keeps, in one pass without a shuffle."""
-    return docs.mapInArrow(_keep_batches, docs.schema)
+
+def keep_passing(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """The rows of docs that a policy keeps, by the bits of their ledger, in one pass without a shuffle."""
+    return marked(docs).where(passes(policy)).select("row.*")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +185,11 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy does, from the ledger's bits alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), "strict-1")
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -203,3 +214,8 @@ b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 63) = 0 AS kept, failed_bits FROM b
 """
+ABLATIONS_SQL = f"""
+WITH l AS ({OP10_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BIT.items())})
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failed_bits = bit)::BIGINT AS n_failed_alone,
+       count(*) FILTER (failed_bits & ~bit = 0)::BIGINT AS n_kept_without FROM l, r GROUP BY rule
+"""

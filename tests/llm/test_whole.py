@@ -284,6 +284,45 @@ def test_licences_within_a_paragraph_and_several_of_them(spark):
     assert [x for x in found if x[2] == 1.0] == want and got[2] == got[3] == []
 
 
+def plain_notices(text, templates, threshold):
+    """Every window of a template's length compared as a set, the best first, without overlaps."""
+    places = [(m.start(), m.end(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", text)]
+    words, out = [w for _, _, w in places], []
+    for name, t in templates.items():
+        own = re.findall("[a-z0-9]+", t.lower())
+        grams, width = set(zip(own, own[1:])), min(len(own) - 1, len(words) - 1)
+        found = []
+        for at in range(len(words) - width):
+            window = set(zip(words[at : at + width], words[at + 1 : at + width + 1]))
+            dice = 2 * len(window & grams) / (len(window) + len(grams))
+            if dice >= threshold:
+                found.append((-dice, at))
+        taken = []
+        for minus, at in sorted(found):
+            if all(abs(at - x) > width for x in taken):
+                taken.append(at)
+                out.append((name, places[at][0], places[at + width][1], -minus))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_licence_windows_against_brute_force(spark):
+    rng = random.Random(9)
+    templates = {k: licenses.TEMPLATES[k] for k in ("MIT", "ISC", "CC-BY-4.0", "GPL-3.0", "MPL-2.0")}
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            w = templates[rng.choice(list(templates))].split() if rng.random() < 0.7 else [rng.choice("é licensed under the a of work".split()) for _ in range(rng.randint(1, 30))]
+            for at in rng.sample(range(len(w)), min(len(w), rng.choice([0, 0, 1, 3]))):
+                w[at] = rng.choice(["x", w[0], ""])
+            parts.append(" ".join(w))
+        texts.append(rng.choice([" ", "\n", ". é "]).join(parts))
+    got = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    assert sum(map(len, got.values())) > 30
+    for k, t in enumerate(texts):
+        assert got[k] == plain_notices(t, templates, licenses.THRESHOLD), t
+
+
 def test_full_licence_texts(spark):
     full = licenses.full_texts()
     docs = [(k, f"before it {t} after it") for k, t in enumerate(full.values())]
