@@ -28,7 +28,7 @@ from ._common import table
 
 THRESHOLD = 0.8
 STEP = 512  # pairs of words between two looks at the size bound
-#: Public licence notices, in full and in their usual short forms.
+#: Public licence notices in their usual short forms, and passages of licences; full_texts() has whole ones.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
