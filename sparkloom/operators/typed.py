@@ -562,6 +562,50 @@ class NDArray:
         rest = F.pmod(product, F.lit(str(1 << bits)).cast("decimal(38,0)")).cast("decimal(20,0)")
         return base._reduce(dtypes.wrap_decimal(F.coalesce(F.sum(rest), F.lit(0).cast("decimal(30,0)")), bits).cast(acc.storage), acc, None)
 
+    # activations
+    def _along(self, axis: int) -> tuple[str, list[str]]:
+        """An axis, which may count from the end, and the others."""
+        if not -len(self.shape) <= axis < len(self.shape):
+            raise ValueError("no such axis")
+        name = self.axes[axis]
+        return name, [a for a in self.axes if a != name]
+
+    def _as_real(self) -> tuple[DType, Column]:
+        t = dtypes.unary_real(self.dtype)
+        return t, (self.value.cast("int") if self.dtype is DType.BINARY else self.value).cast("double")
+
+    def _summed(self, df: DataFrame, keep: list[str], **aggs: Column) -> DataFrame:
+        """df with aggregates over its groups beside each row: combined before they are shuffled, so a long group is no single task."""
+        per = df.groupBy(*keep).agg(*[c.alias(n) for n, c in aggs.items()])
+        return df.join(per, keep) if keep else df.crossJoin(F.broadcast(per))  # without other axes it is one row
+
+    def softmax(self, axis: int = -1) -> NDArray:
+        """exp(x - max) over its sum along an axis; a sum of zero gives zeros, a scalar gives 1."""
+        t, x = self._as_real()
+        if not self.shape:
+            return self._with(literal(1, t), t)
+        _, keep = self._along(axis)
+        df = self._summed(self.df.select(*[F.col(a) for a in self.axes], x.alias("v")), keep, most=F.max("v"))
+        df = self._summed(df.withColumn("v", F.exp(F.col("v") - F.col("most"))).drop("most"), keep, total=F.sum("v"))
+        v = F.when(F.col("total") == 0, 0.0).otherwise(F.col("v") / F.when(F.col("total") != 0, F.col("total")))
+        return NDArray(df, self.axes, self.shape, dtypes.round_half(v, t) if t in (DType.F16, DType.BF16) else v.cast(t.storage), t)
+
+    def rmsnorm(self, weight: NDArray, axis: int = -1, eps: float = 1e-6) -> NDArray:
+        """x w / sqrt(mean of x squared along an axis + eps); the weight has the axis's length or the array's shape."""
+        t, x = self._as_real()
+        name, keep = self._along(axis)
+        at = self.axes.index(name)
+        if weight.shape != self.shape and weight.shape != [self.shape[at]]:
+            raise ValueError(f"a weight of {weight.shape} for {self.shape}")
+        df = self._summed(self.df.select(*[F.col(a) for a in self.axes], x.alias("v")), keep, square=F.avg(F.col("v") * F.col("v")))
+        on = self.axes if weight.shape == self.shape and len(weight.shape) > 1 else [name]
+        w = weight.df.select(*[F.col(a).alias(b) for a, b in zip(weight.axes, on)], weight.value.cast("double").alias("w"))
+        v = F.col("v") * F.col("w") / F.sqrt(F.col("square") + F.lit(eps))
+        return NDArray(df.join(w, on), self.axes, self.shape, dtypes.round_half(v, t) if t in (DType.F16, DType.BF16) else v.cast(t.storage), t)
+
+    def silu_mul(self, other: NDArray) -> NDArray:
+        return self.real("silu").mul(other)
+
     # views
     def _view(self, df: DataFrame, axes: list[str], shape: list[int]) -> NDArray:
         return NDArray(df, axes, shape, F.col("v"), self.dtype)

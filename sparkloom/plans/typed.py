@@ -8,7 +8,7 @@ from ..functions import wideint
 from ..functions.dtypes import DType
 from ..operators.typed import ACCUMULATORS, NDArray, piecewise, where
 from .elementwise import FRAME, frame, inline_macros
-from .registry import query
+from .registry import query, table
 
 c = F.col
 #: A column of each element type, in SQL that Spark and DuckDB share.
@@ -155,8 +155,8 @@ def _(spark, sf_dir):
 
 
 # products
-for t in (DType.BINARY, DType.INT3, DType.INT8, DType.UINT8, DType.INT32, DType.INT64, DType.F32, DType.F64, DType.UINT256):
-    out_t = {DType.INT32: DType.INT64}.get(t, t if t.value.real or t.value.digits > 31 else DType.INT32)
+for t in (DType.BINARY, DType.INT3, DType.INT8, DType.UINT8, DType.INT32, DType.INT64, DType.F16, DType.BF16, DType.F32, DType.F64, DType.UINT256):
+    out_t = {DType.INT32: DType.INT64, DType.F16: DType.F32, DType.BF16: DType.F32}.get(t, t if t.value.real or t.value.digits > 31 else DType.INT32)
     cell = {DType.BINARY: "(i * 3 + k) % 2", DType.INT3: "(i + k) % 7 - 3", DType.INT8: "(i * 5 + k) % 255 - 127", DType.UINT8: "(i * 7 + k) % 256"}.get(t, "(i * 3 + k * 5) % 11 - 4" if t is not DType.UINT256 else "(i * 3 + k * 5) % 11")
     scale = 1 << 60 if t is DType.INT64 else 1
     value = f"(({cell}) * {scale})::HUGEINT"
@@ -194,6 +194,29 @@ def _(spark, sf_dir):
     return out.df.select(c(out.axes[0]).alias("i"), c(out.axes[1]).alias("j"), "v")
 
 
+COO = "(SELECT vec_id AS i, unnest(range(0, len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+def vectors(spark, sf_dir) -> NDArray:
+    t = table(spark, sf_dir, "embeddings")
+    return NDArray(t.select(c("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v")), ["i", "k"], [t.count(), 64], c("v").cast("double"), DType.F64)
+
+
+for axis, by in ((0, "k"), (-1, "i")):
+
+    @query(f"nd_softmax_{by}", f"SELECT i, k, round(e / sum(e) OVER (PARTITION BY {by}), 8) AS v FROM (SELECT i, k, exp(v - max(v) OVER (PARTITION BY {by})) AS e FROM {COO})")
+    def _(spark, sf_dir, axis=axis):
+        out = vectors(spark, sf_dir).softmax(axis)
+        return out.df.select("i", "k", F.round(out.value, 8).alias("v"))
+
+
+@query("nd_rmsnorm", f"SELECT i, k, round(v * (1 + k % 3) / sqrt(avg(v * v) OVER (PARTITION BY i) + 1e-6), 6) AS v FROM {COO}")
+def _(spark, sf_dir):
+    weight = NDArray(spark.range(64), ["id"], [64], 1.0 + c("id") % 3, DType.F64)
+    out = vectors(spark, sf_dir).rmsnorm(weight)
+    return out.df.select("i", "k", F.round(out.value, 6).alias("v"))
+
+
 #: What must be an error, and isn't found out by Spark.
 ERRORS = ("int64 and real", "real and uint256", "other shapes", "empty reduction", "inner sizes", "types of a product", "lengths of a dot", "int64 and a scalar", "negative power", "real function of uint256", "no axis")
 

@@ -238,3 +238,22 @@ def test_matmul_ranks_and_errors(spark):
             x.matmul(y)
     big = NDArray.of(spark, [1 << 62, 1 << 62], [1, 2], DType.INT64).matmul(NDArray.of(spark, [3, 1], [2, 1], DType.INT64))
     assert values(big) == [0]
+
+
+def test_activations(spark):
+    a = np.array([[1.0, 2.0, -3.0], [0.5, 700.0, 710.0]])
+    x = NDArray.of(spark, a.ravel().tolist(), [2, 3])
+    for axis in (0, 1, -1, -2):
+        e = np.exp(a - a.max(axis, keepdims=True))
+        assert near(values(x.softmax(axis)), (e / e.sum(axis, keepdims=True)).ravel().tolist())
+    assert math.isclose(sum(values(NDArray.of(spark, [1.0, 5.0, 2.0]).softmax())), 1) and values(NDArray.of(spark, [7.0], []).softmax()) == [1.0]
+    assert NDArray.of(spark, [2, 3]).softmax().dtype is DType.F64 and NDArray.of(spark, [2, 3], dtype=DType.INT8).softmax().dtype is DType.F32
+    w = np.array([1.0, 2.0, 0.5])
+    want = a * w / np.sqrt((a * a).mean(1, keepdims=True) + 1e-3)
+    assert near(values(x.rmsnorm(NDArray.of(spark, w.tolist()), eps=1e-3)), want.ravel().tolist())
+    assert near(values(x.rmsnorm(NDArray.of(spark, a.ravel().tolist(), [2, 3]), 0, 1e-3)), (a * a / np.sqrt((a * a).mean(0) + 1e-3)).ravel().tolist())
+    assert near(values(x.silu_mul(x)), (a * a / (1 + np.exp(-a))).ravel().tolist())
+    with pytest.raises(ValueError):
+        x.rmsnorm(NDArray.of(spark, [2.0, 3.0]))
+    with pytest.raises(ValueError):
+        x.softmax(2)
