@@ -152,23 +152,20 @@ def ablations(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     return book.agg(*sums).selectExpr(f"stack({len(used)}, {stack}) as (rule, n_failed, n_failed_alone, n_kept_without)")
 
 
-def _measured_batches(text: int):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            rows = np.array([measure(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(rows[:, k]) for k in range(rows.shape[1]))], names=[*b.schema.names, *MEASURES])
+def _measured_batches(batches):
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    for b in batches:
+        rows = np.array([measure(t.as_py()) for t in b.column(0).field("text")], np.int64).reshape(-1, len(MEASURES))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(rows.shape[1]))], names=["row", *MEASURES])
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """The rows of docs, in the struct row, with their measurements and failed_bits: a ledger beside its documents."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = StructType([*packed.schema, *(StructField(m, LongType()) for m in MEASURES)])
-    return with_bits(packed.mapInArrow(_measured_batches(1), schema)).drop("text")
+    return with_bits(packed.mapInArrow(_measured_batches, schema))
 
 
 def keep_passing(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:

@@ -42,6 +42,7 @@ SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
 NEAR_SHINGLE = 5
+BATCH = 512  # rows whose shingles are held at once
 SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
 BANDS, ROWS = 24, 5
 SIZE_STEP = 1.02  # sizes of sets within this factor share a bin
@@ -149,7 +150,7 @@ def _band_batches(batches):
     import xxhash
 
     factors = np.random.RandomState(SEED).randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    for b in batches:
+    for b in (x.slice(at, BATCH) for x in batches for at in range(0, x.num_rows, BATCH)):
         sets, keys, sizes = [], [], []
         for t in b.column(2):
             own = _shingles(t.as_py(), NEAR_SHINGLE)
@@ -168,7 +169,7 @@ def _set_batches(batches):
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
+    for b in (x.slice(at, BATCH) for x in batches for at in range(0, x.num_rows, BATCH)):
         sets = [_shingles(t.as_py(), NEAR_SHINGLE).view(np.int64) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "words"])
 
