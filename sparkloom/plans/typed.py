@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wideint
 from ..functions.dtypes import DType
-from ..operators.typed import ACCUMULATORS, NDArray, piecewise, where
+from ..operators.typed import ACCUMULATORS, NDArray, literal, piecewise, where
 from .elementwise import FRAME, frame, inline_macros
 from .registry import query, table
 
@@ -108,6 +108,39 @@ _lanewise("nd_convert_u256", lambda spark, sf_dir: lanes(spark, sf_dir, DType.IN
           "CASE WHEN c < 0 THEN repeat('f', 48) || lower(to_hex(18446744073709551616::HUGEINT + c)) ELSE lpad(lower(to_hex(c)), 64, '0') END", DType.UINT256)
 
 
+#: The type that holds two, by row and column in the order of the first line; - is an error.
+PROMOTION = """
+BINARY INT3 INT8 UINT8 INT32 INT64 F16 BF16 F32 F64 UINT256
+UINT8 INT3 INT8 UINT8 INT32 INT64 F16 BF16 F32 F64 UINT256
+INT3 INT3 INT8 INT32 INT32 INT64 F16 BF16 F32 F64 -
+INT8 INT8 INT8 INT32 INT32 INT64 F16 BF16 F32 F64 -
+UINT8 INT32 INT32 UINT8 INT32 INT64 F16 BF16 F32 F64 UINT256
+INT32 INT32 INT32 INT32 INT32 INT64 F64 F64 F64 F64 -
+INT64 INT64 INT64 INT64 INT64 INT64 - - - - -
+F16 F16 F16 F16 F64 - F16 F32 F32 F64 -
+BF16 BF16 BF16 BF16 F64 - F32 BF16 F32 F64 -
+F32 F32 F32 F32 F64 - F32 F32 F32 F64 -
+F64 F64 F64 F64 F64 - F64 F64 F64 F64 -
+UINT256 - - UINT256 - - - - - - UINT256
+"""
+NAMES, *CELLS = [line.split() for line in PROMOTION.strip().split("\n")]
+
+
+@query("nd_promotion", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{t}')" for a, row in zip(NAMES, CELLS) for b, t in zip(NAMES, row)) + ") t(a, b, t)")
+def _(spark, sf_dir):
+    """What adding two arrays gives, for all pairs of types."""
+    df = spark.range(1)
+    one = {t.name: NDArray(df, ["id"], [1], literal(1, t), t) for t in DType}
+
+    def of(a, b):
+        try:
+            return one[a].add(one[b]).dtype.name
+        except ValueError:
+            return "-"
+
+    return spark.createDataFrame([(a, b, of(a, b)) for a in one for b in one], "a string, b string, t string")
+
+
 # reductions
 for t in (DType.INT3, DType.INT8, DType.UINT8, DType.INT32, DType.INT64):
     sum_t = DType.INT32 if t.value.digits <= 8 else DType.INT64
