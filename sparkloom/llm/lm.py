@@ -108,7 +108,7 @@ class Block:
         self.block = uuid.uuid4().hex
 
 
-def _blocks(batches):
+def _blocks(batches, block_tokens: int):
     """Blocks of (doc_id, fold5, fold50, text) rows; dev documents get blocks of their own."""
     from itertools import count
 
@@ -135,7 +135,7 @@ def _blocks(batches):
             docs.append((doc_id.as_py(), five.as_py(), len(words)))
             seen[0] += len(words)
             seen[1] += len(raw)
-            if seen[0] >= BLOCK_TOKENS:
+            if seen[0] >= block_tokens:
                 yield Block(docs, numbers, vocabulary, seen, dev)
                 kept[dev] = new()
     for dev, (docs, numbers, vocabulary, seen) in kept.items():
@@ -199,19 +199,21 @@ def _add_up(key, part):
     return pd.DataFrame(out, columns=["order", "bucket", "block", "dev", "n", "total", "deleted", "v", "tokens", "dev_tokens"])
 
 
-def _token_batches(batches):
-    import numpy as np
-    import pyarrow as pa
+def _token_batches(block_tokens: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for b in _blocks(batches):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([b.block]), pa.array([b.dev]), pa.array([b.bytes]), pa.array([[d[0] for d in b.docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in b.docs]], pa.list_(pa.int32())),
-                pa.array([b.lengths.tolist()], pa.list_(pa.int64())), pa.array([len(b.unigrams)], pa.int32()), pa.array([_squeeze_sorted(b.unigrams)], pa.binary()),
-                pa.array([_squeeze(b.tokens.astype("<u4"))], pa.binary()),
-            ],
-            names=["block", "dev", "bytes", "doc_ids", "folds", "lengths", "n", "unigrams", "tokens"],
-        )
+        for b in _blocks(batches, block_tokens):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b.block]), pa.array([b.dev]), pa.array([b.bytes]), pa.array([[d[0] for d in b.docs]], pa.list_(pa.int64())), pa.array([[d[1] for d in b.docs]], pa.list_(pa.int32())),
+                    pa.array([b.lengths.tolist()], pa.list_(pa.int64())), pa.array([len(b.unigrams)], pa.int32()), pa.array([_squeeze_sorted(b.unigrams)], pa.binary()),
+                    pa.array([_squeeze(b.tokens.astype("<u4"))], pa.binary()),
+                ],
+                names=["block", "dev", "bytes", "doc_ids", "folds", "lengths", "n", "unigrams", "tokens"],
+            )
+
+    return run
 
 
 TOKENS = "block string, dev boolean, bytes long, doc_ids array<long>, folds array<int>, lengths array<long>, n int, unigrams binary, tokens binary"
@@ -337,17 +339,19 @@ def _score_blocks(weights, types: int, total: int):
     return run
 
 
-def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    What is sent has a row per block, order and bucket.  A bucket's entries must fit in
-    a reducer, BUCKET_BYTES of text each in one of three gigabytes; larger executors
-    take larger bucket_bytes, and rows fall in proportion."""
+    What is sent has a row per block, order and bucket: the size of the texts squared,
+    over that of a block times that of a bucket.  A block's tokens (BLOCK_TOKENS unless
+    given) and the entries of bucket_bytes of text must fit in a task; the defaults do in
+    executors of three gigabytes.  Larger executors should be given larger ones: with
+    100 million tokens and 256 MB, 100 TB send some 10**11 rows of 75 entries."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), TEST_OF).cast("int").alias("five"), fold(F.col("doc_id"), DEV_OF).cast("int").alias("fifty"),
         F.col("text").cast("string").alias("text"),
     )
-    blocks = materialize(rows.mapInArrow(_token_batches, TOKENS), "blocks")
+    blocks = materialize(rows.mapInArrow(_token_batches(block_tokens or BLOCK_TOKENS), TOKENS), "blocks")
     size, n_blocks = blocks.agg(F.sum("bytes"), F.count("*")).first()
     size, parts = size or 0, -(-n_blocks // BLOCKS_A_TASK) or 1
     bits = max(LEAST_BUCKETS, -(-size // bucket_bytes) - 1).bit_length()

@@ -10,7 +10,6 @@ from itertools import combinations
 import pytest
 
 from sparkloom.llm import classifier, licenses, lm, packing, pieces, pii, simhash, warc
-from sparkloom.llm._common import scratch_path
 
 from .cases import none, odd
 
@@ -151,7 +150,7 @@ def test_rows_whose_texts_shift_at_their_seams(spark, monkeypatch):
     got = lm.score(df).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in got) == want and {r["train_tokens"] for r in got} == {n}
     rounded = lambda x: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in x)
-    assert rounded(got) == rounded(lm.score(df.coalesce(1)).collect())
+    assert rounded(got) == rounded(lm.score(df.coalesce(1)).collect()) == rounded(lm.score(df.coalesce(2), block_tokens=2, bucket_bytes=1).collect())
 
 
 # archives
