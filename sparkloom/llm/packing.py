@@ -27,6 +27,7 @@ from ._common import table
 
 WINDOW = 1024
 END = 0
+BATCH = 512  # documents whose pieces are held at once
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -88,7 +89,10 @@ def _encoder(vocabulary: str):
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     with open(public_tokenizers.path(f"{vocabulary}.json")) as f:
-        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        whole, mark = f.read(), '"added_tokens":'  # only this list is parsed: the vocabulary beside it is large
+    start = whole.index("[", whole.index(mark))
+    added = {x["content"]: x["id"] for x in json.JSONDecoder().raw_decode(whole, start)[0]}
+    del whole
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     slow = []
 
@@ -114,7 +118,7 @@ def _piece_batches(window: int, vocabulary: str):
 
         encode = _encoder(vocabulary)
         closing = np.array([END], "<u4")
-        for b in batches:
+        for b in (x.slice(at, BATCH) for x in batches for at in range(0, x.num_rows, BATCH)):
             rows, start, length, raw, total = [], [], [], [], []
             for k, t in enumerate(b.column(1)):
                 ids = np.concatenate([encode(t.as_py() or ""), closing])

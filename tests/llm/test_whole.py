@@ -326,7 +326,7 @@ def test_full_licence_texts(spark):
     full = licenses.full_texts()
     docs = [(k, f"before it {t} after it") for k, t in enumerate(full.values())]
     got = {r["doc_id"]: {m["license"]: m["dice"] for m in r["matches"]} for r in licenses.find_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(full) == 8 and all(got[k][name] == 1.0 for k, name in enumerate(full))
+    assert len(full) == 12 and all(got[k][name] == 1.0 for k, name in enumerate(full))
 
 
 # the pipeline
