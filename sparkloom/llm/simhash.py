@@ -42,6 +42,7 @@ SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
 NEAR_SHINGLE = 5
+BROADCAST_ROWS = 200_000
 BATCH = 512  # rows whose shingles are held at once
 SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
 BANDS, ROWS = 24, 5
@@ -266,6 +267,9 @@ def _near_classes(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
     members = materialize(keys.join(shared, "key"), "members")
     wanted = classes.join(members.select("fp").distinct(), "fp").select("fp", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.mark")
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # of three longs; then only these texts are shuffled, and beyond it all are
+        wanted = F.broadcast(wanted)
     texts = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted, ["id", "mark"]).dropDuplicates(["fp"])
     sets = materialize(texts.select("fp", "text").mapInArrow(_set_batches, "fp long, words array<long>"), "sets")
     roots = _near_roots(members, sets)
