@@ -12,7 +12,7 @@ passes each start of a word, and the lattice is a chain of word lattices: a
 word's best path and the loss of its second best are kept per distinct word.
 The N best paths of a text deviate only at the N - 1 words of smallest loss; those
 words' N best are found by A* and merged; each of the N paths is the best one with
-the ids of those words replaced.
+the ids of those words replaced.  All N are put together and decoded again.
 
 Cases: a null or empty text has no pieces, one path of score 0; a long text costs
 time in proportion to its length; ties between paths are kept in the order found,
@@ -50,6 +50,7 @@ class Pieces:
         self.score: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
         self.text: list[bytes] = []
+        self.parts = None
         for i in range(len(sp)):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -107,8 +108,23 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts in front is left out."""
-        out = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return _bare(b"".join([self.text[i] for i in ids]))
+
+    def decode_all(self, paths: list[bytes]) -> list[str]:
+        """The texts of several paths, each its ids as little-endian bytes."""
+        import numpy as np
+        import pyarrow as pa
+
+        if self.parts is None:
+            self.parts = pa.array(self.text, pa.large_binary())
+        taken = self.parts.take(pa.array(np.frombuffer(b"".join(paths), "<u4")))
+        raw, ends = taken.buffers()[2], np.frombuffer(taken.buffers()[1], "<i8")[np.cumsum([0] + [len(x) // 4 for x in paths])].tolist()
+        return [_bare(raw[a:b].to_pybytes()) if b > a else "" for a, b in zip(ends, ends[1:])]
+
+
+def _bare(raw: bytes) -> str:
+    out = raw.decode("utf-8", "replace")
+    return out[1:] if out.startswith(" ") else out
 
 
 class Lattice:
@@ -252,26 +268,20 @@ class Encoder:
         self.pieces, self.nbest = pieces, nbest
         self.known = _Kept(self.word)
         self.ways = _Kept(self.losses, KEPT_BYTES // 8)
-        self.odd: set[str] = set()  # words that their pieces don't give back
 
     def word(self, w: str) -> tuple[bytes, float, float]:
         """Ids as bytes, score, and what the second best path loses."""
         ids, score, loss = self.pieces.best_and_loss(w)
-        if not self.pieces.single.issuperset(w):  # else the pieces are parts of the word
-            text = self.pieces.text
-            if b"".join([text[i] for i in ids]) != w.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
-                self.odd.add(w)
         return array("I", ids).tobytes(), score, loss
 
-    def changes(self, text: str | None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]], bool]:
+    def changes(self, text: str | None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
         """Ids of the best path as little-endian bytes; of each of the nbest best paths its
-        score and where it differs from the best: (start, length, ids there), in bytes;
-        and whether the pieces give the text back."""
+        score and where it differs from the best: (start, length, ids there), in bytes."""
         import numpy as np
 
         words = words_of(text or "")
         if not words:
-            return b"", [(0.0, [])], True
+            return b"", [(0.0, [])]
         ids, scores, losses = zip(*map(self.known.__getitem__, words))
         few = min(self.nbest - 1, len(words))
         close = sorted(np.argpartition(np.array(losses), few - 1)[:few].tolist()) if few else []
@@ -285,7 +295,7 @@ class Encoder:
         for loss, taken in merge([[x for x, _ in way] for way in ways], self.nbest):
             turns = [(start, len(ids[i]), way[k][1]) for start, i, way, k in zip(starts, close, ways, taken) if way[k][1] != ids[i]]
             out.append((best + loss, turns))
-        return b"".join(ids), out, not (self.odd and not self.odd.isdisjoint(words))
+        return b"".join(ids), out
 
     def encode(self, text: str | None):
         """(ids as little-endian bytes, the scores of the nbest best paths)."""
@@ -294,15 +304,8 @@ class Encoder:
 
     def paths(self, text: str | None) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian bytes) of the nbest best paths."""
-        best, all_of, _ = self.changes(text)
-        out = []
-        for score, turns in all_of:
-            parts, at = [], 0
-            for start, length, ids in turns:
-                parts += [best[at:start], ids]
-                at = start + length
-            out.append((score, b"".join([*parts, best[at:]])))
-        return out
+        best, all_of = self.changes(text)
+        return [(score, _turned(best, turns)) for score, turns in all_of]
 
     def losses(self, w: str) -> list[tuple[float, bytes]]:
         """The nbest best paths of a word: score less the best, and ids."""
@@ -318,6 +321,15 @@ class Encoder:
         return out
 
 
+def _turned(best: bytes, turns: list[tuple[int, int, bytes]]) -> bytes:
+    """The best path's ids with those of the turns in their places."""
+    parts, at = [], 0
+    for start, length, ids in turns:
+        parts += [best[at:start], ids]
+        at = start + length
+    return b"".join([*parts, best[at:]])
+
+
 def _encode_batches(path: str | None, nbest: int):
     def run(batches):
         import gc
@@ -334,7 +346,10 @@ def _encode_batches(path: str | None, nbest: int):
             for b in batches:
                 rows, first, held = [], 0, 0
                 for k, t in enumerate(b.column(1)):
-                    best, paths, same = encoder.changes(t.as_py())
+                    text = t.as_py() or ""
+                    best, paths = encoder.changes(text)
+                    whole = (_turned(best, turns) for _, turns in paths)  # of a long text one path is held at a time
+                    same = all(x == text for some in (([w] for w in whole) if len(best) > BATCH_BYTES else [list(whole)]) for x in encoder.pieces.decode_all(some))
                     rows.append((best, [{"score": s, "turns": [{"at": a, "length": n, "ids": x} for a, n, x in turns]} for s, turns in paths], same))
                     held += len(best)
                     if held > BATCH_BYTES or k == b.num_rows - 1:
@@ -365,8 +380,8 @@ def _decode_batches(path: str | None):
 def encode(docs: DataFrame, path: str | None = None, nbest: int = NBEST) -> DataFrame:
     """Per row: paths, the nbest best segmentations, best first, each its score and
     its ids (little-endian, four bytes each); counts and digests of the best path's
-    pieces, and the scores of the best, second and last path (the first's where
-    there are no others)."""
+    pieces, whether every path, decoded, gives the text back, and the scores of the
+    best, second and last path (the first's where there are no others)."""
     schema = "doc_id long, best binary, found array<struct<score: double, turns: array<struct<at: int, length: int, ids: binary>>>>, round_trip boolean"
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode_batches(path, nbest), schema)
     best, n = F.col("best"), F.size("found")
@@ -392,4 +407,8 @@ def decode(encoded: DataFrame, path: str | None = None, rank: int = 0) -> DataFr
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents")).drop("paths")
+    """What encode() gives, with digests in the place of the paths: all scores and, as
+    count:crc32 of its ids, every path."""
+    digest = F.transform("paths", lambda p: F.concat_ws(":", (F.octet_length(p["ids"]) / 4).cast("long").cast("string"), F.crc32(p["ids"]).cast("string")))
+    found = encode(table(spark, sf_dir, "documents"))
+    return found.withColumns({"paths": F.array_join(digest, ","), "scores": F.array_join(F.transform("paths", lambda p: p["score"].cast("string")), ",")})

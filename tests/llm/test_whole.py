@@ -234,6 +234,22 @@ def test_encoding_gives_the_segmentations(spark):
         assert back == {k: (t or "") if rank == 0 or len(t or "") > 1 else back[k] for k, t in enumerate(texts)}
 
 
+def test_the_query_digests_and_decodes_every_path(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+
+    p = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    texts = ["the rain in spain", "漢 é\n the theory", " two  spaces ", "x", "", None, "a\u2581b", "a\u2581漢"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pieces.op3_pieces(spark, str(tmp_path)).collect():
+        text = texts[r["doc_id"]] or ""
+        want = pieces.search(p.edges("▁" + text.replace(" ", "▁")), 4) if text else [(0.0, ())]
+        got = sorted(r["paths"].split(","))
+        assert got == sorted(f"{len(ids)}:{zlib.crc32(np.array(ids, '<u4').tobytes())}" for _, ids in want)
+        assert np.allclose([float(s) for s in r["scores"].split(",")], [s for s, _ in want], rtol=1e-12)
+        assert r["round_trip"] == all(p.decode(ids) == text for _, ids in want) == ("\u2581" not in text)
+
+
 def test_long_words_cost_time_and_memory_in_proportion():
     import time
     import tracemalloc
