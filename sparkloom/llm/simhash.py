@@ -10,16 +10,21 @@ flips within a half are needed (992 rather than 2016).  At a meeting point with
 radius-1 member everybody is within 3 of that member, so verification is by
 geometry and the group becomes a star: edges are linear in its size.  A point
 can gather no more than 65 + 992 distinct fingerprints.
-drop_near_duplicates has its own rule, five-word shingles with a Jaccard
-similarity of SIMILAR or more: candidates agree in one of BANDS bands of ROWS
-minhashes (at similarity 0.8 all but 7 in 100,000 pairs do), and each is checked
-on the shingle sets before it links.  Buckets are settled by hubs, and what hubs
-leave open by prefix filtering, so that no bucket is expanded into its pairs.
-
 Before that, fingerprints that can't have a partner are set aside: cut into
 seven parts, two words at distance 3 or less agree in four of them at least; a
 fingerprint alone in all its 35 part combinations emits nothing more.
 
+drop_near_duplicates has its own rule, five-word shingles with a Jaccard
+similarity of SIMILAR or more, and its own fingerprints: PRINTS of 32 bits, of the
+distinct five-word shingles, whose balls meet in the same way (far points are 240).
+Meeting points are settled by hubs, each pair checked on the shingle sets before it
+links.  Two sets at 0.8 differ in a seventh of the bits, so balls of radius 3 don't
+reach all of them: what hubs leave open is compared by prefix filtering, exact for
+all pairs, over every set that can have a partner.  A set of n shingles shares 0.8 n
+with a partner, so, in the order of hashes, the l smallest that they share are among
+the first 0.2 n + l of either; a set with fewer than that many of its first shingles
+in other sets' first ones has no partner, and emits nothing more.
+
 Cases: a null or empty text, or one without words, has fingerprint zero and
 links like any other; fewer than three words make one shingle of all of them;
 equal texts and repeated rows share a fingerprint, each row is returned; rows
@@ -45,10 +50,12 @@ NEAR_SHINGLE = 5
 BROADCAST_ROWS = 200_000
 BATCH = 512  # rows whose shingles are held at once
 SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
-BANDS, ROWS = 24, 5
+PRINTS = 4
+SLACK = 20  # l is one and a twentieth of the set
 SIZE_STEP = 1.02  # sizes of sets within this factor share a bin
 STARS = 2
 HALVES = (range(0, 32), range(32, 64))
+NARROW = (range(0, 16), range(16, 32))
 PARTS = tuple(range(64 * k // 7, 64 * (k + 1) // 7) for k in range(7))
 
 
@@ -58,6 +65,8 @@ def _signed(x: int) -> int:
 
 NEAR = [0] + [_signed(1 << i) for i in range(64)]
 FAR = [_signed(1 << i | 1 << j) for half in HALVES for i, j in combinations(half, 2)]
+NARROW_NEAR = [0] + [1 << i for i in range(32)]
+NARROW_FAR = [1 << i | 1 << j for half in NARROW for i, j in combinations(half, 2)]
 AGREE = [_signed(sum(1 << i for part in four for i in part)) for four in combinations(PARTS, 4)]
 
 
@@ -145,25 +154,48 @@ def _shingles(text: str | None, words: int):
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends)), np.uint64)) if w else np.zeros(0, np.uint64)
 
 
-def _band_batches(batches):
+def _prints(own) -> list[int]:
+    """The 32-bit fingerprints of a set of hashes: a bit is 1 if set in over half of them."""
+    import numpy as np
+
+    votes = np.zeros((PRINTS // 2, 64), np.int64)
+    for at in range(0, len(own), CHUNK):
+        h = own[at : at + CHUNK]
+        for k in range(PRINTS // 2):
+            votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.packbits(2 * votes.ravel() > len(own), bitorder="little").view("<u4").tolist()
+
+
+def _least_shared(n: int) -> int:
+    """l of a set of n."""
+    return 1 + n // SLACK
+
+
+def _first(n: int) -> int:
+    """How many of n shingles, in the order of hashes, hold the l smallest that are shared with a partner."""
+    return n - -(-n * SIMILAR[0] // SIMILAR[1]) + _least_shared(n) if n else 0
+
+
+def _print_batches(batches):
     import numpy as np
     import pyarrow as pa
     import xxhash
 
-    factors = np.random.RandomState(SEED).randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     for b in (x.slice(at, BATCH) for x in batches for at in range(0, x.num_rows, BATCH)):
-        sets, keys, sizes = [], [], []
+        sets, prints, firsts, sizes, least = [], [], [], [], []
         for t in b.column(2):
             own = _shingles(t.as_py(), NEAR_SHINGLE)
-            least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(own), 1 << 12):
-                least = np.minimum(least, (own[at : at + (1 << 12), None] * factors).min(0))
-            raw, step = least.tobytes(), 8 * ROWS
+            n = len(own)
             sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-            keys.append([_signed(xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k)) for k in range(BANDS)] if len(own) else [])
-            sizes.append(len(own))
-        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "fp", "size", "keys"])
+            prints.append(_prints(own))
+            firsts.append(own[: _first(n)].view(np.int64))
+            sizes.append(n)
+            least.append(_least_shared(-(-n * SIMILAR[0] // SIMILAR[1])))  # that of the smallest partner
+        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(least, pa.int64())]
+        columns += [pa.array(x, pa.list_(pa.int64())) for x in (prints, firsts)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "fp", "size", "least", "prints", "tokens"])
 
 
 def _set_batches(batches):
@@ -229,12 +261,12 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return large.join(small, near).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct()
 
 
-def _near_roots(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _near_roots(members: DataFrame, sets: DataFrame, close: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components that the similar pairs of members (key, fp,
     size) make.  STARS rounds compare each bucket's hub with the others and take it
-    out, which settles groups of near copies without their pairs; the members that
-    are then left in buckets of several components are compared by prefix filtering,
-    which no pair of theirs escapes."""
+    out, which settles groups of near copies without their pairs; all of close (fp,
+    size), or without it the members that are then left in buckets of several
+    components, are compared by prefix filtering, which no pair of theirs escapes."""
     of_key = members.groupBy("key").agg(F.count("*").alias("n"))
     weights = members.join(of_key, "key").groupBy("fp").agg(F.sum("n").alias("weight"))
     edges, rest = None, materialize(members.join(weights, "fp").withColumn("root", F.col("fp")), "weighted")
@@ -242,37 +274,58 @@ def _near_roots(members: DataFrame, sets: DataFrame) -> DataFrame:
         if k < STARS:
             pairs, rest = _hub_pairs(rest, k)
         else:
-            pairs = _prefix_pairs(rest.select("fp", "size", "root").distinct(), sets)
+            pairs = _prefix_pairs(rest.select("fp", "size", "root").distinct() if close is None else _rooted(close, roots), sets)
         new = materialize(_similar(materialize(pairs, "pairs"), sets), "similar")
         edges = new if edges is None else edges.union(new)
         roots = materialize(components(edges), "roots")
         if k < STARS:
-            of = roots.select(F.col("node").alias("fp"), "root")
-            rest = rest.join(of, "fp", "left").select("key", "fp", "size", "weight", F.coalesce("root", "fp").alias("root"))
+            rest = _rooted(rest, roots)
             open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             rest = materialize(rest.join(open_, "key"), "rest")
-            if rest.isEmpty():
+            if close is None and rest.isEmpty():
                 break
     return roots
 
 
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """df (fp and others) with the root of each."""
+    return df.drop("root").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _close(classes: DataFrame) -> DataFrame:
+    """fp of the sets (fp, least, tokens) with least or more of their first shingles in another's first ones."""
+    tokens = classes.select("fp", "least", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token")
+    return tokens.join(shared, "token").groupBy("fp", "least").agg(F.count("*").alias("n")).where("n >= least").select("fp")
+
+
+def _meetings(close: DataFrame) -> DataFrame:
+    """Members (key, fp, size) of the points at which the balls around the prints of close (fp,
+    size, prints) meet with a near side; of points with the same members one is kept."""
+    flips = lambda side: F.array(*[F.lit(m).cast("long") for m in side])
+    prints = close.select("fp", "size", F.posexplode("prints").alias("k", "print"))
+    near = prints.select("*", F.explode(flips(NARROW_NEAR)).alias("flip"), F.lit(True).alias("near"))
+    far = prints.where(F.bit_count("print") % 2 == 1).select("*", F.explode(flips(NARROW_FAR)).alias("flip"), F.lit(False).alias("near"))
+    met = near.union(far).select((F.shiftleft(F.col("k").cast("long"), 32) + F.col("print").bitwiseXOR(F.col("flip"))).alias("key"), "fp", "size", "near")
+    points = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.max("near").alias("near")).where("n > 1 and near")
+    return met.join(points.groupBy("n", "who").agg(F.min("key").alias("key")).select("key"), "key").select("key", "fp", "size")
+
+
 def _near_classes(docs: DataFrame) -> DataFrame:
     """(fp, root, first) per distinct shingle set, as in _classes."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text")
     keyed = docs.select(doc_id.alias("doc_id"), _mark(doc_id, text).alias("mark"), text.cast("string").alias("text"))
-    prints = materialize(keyed.mapInArrow(_band_batches, "doc_id long, mark long, fp long, size long, keys array<long>"), "bands")
+    prints = keyed.mapInArrow(_print_batches, "doc_id long, mark long, fp long, size long, least long, prints array<long>, tokens array<long>")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
-    classes = materialize(prints.groupBy("fp").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys")), "sets-of")
-    keys = classes.select("fp", "size", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    members = materialize(keys.join(shared, "key"), "members")
-    wanted = classes.join(members.select("fp").distinct(), "fp").select("fp", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.mark")
+    classes = materialize(prints.groupBy("fp").agg(first, *[F.first(c).alias(c) for c in ("size", "least", "prints", "tokens")]), "sets-of")
+    close = materialize(classes.join(_close(classes), "fp").select("fp", "size", "prints", "first"), "close")
+    wanted = close.select("fp", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.mark")
     wanted = materialize(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:  # of three longs; then only these texts are shuffled, and beyond it all are
         wanted = F.broadcast(wanted)
     texts = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted, ["id", "mark"]).dropDuplicates(["fp"])
     sets = materialize(texts.select("fp", "text").mapInArrow(_set_batches, "fp long, words array<long>"), "sets")
-    roots = _near_roots(members, sets)
+    roots = _near_roots(materialize(_meetings(close), "members"), sets, close.select("fp", "size"))
     return materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
 
 

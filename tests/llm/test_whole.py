@@ -74,6 +74,46 @@ def test_prefix_pairs_lose_no_similar_pair(spark):
     assert kept == want
 
 
+def test_near_copies_that_no_band_of_minhashes_shares_go(spark):
+    """Pairs with a similarity of 0.8, 40 of 50 shingles, that 24 bands of 5 minhashes lose."""
+    texts = []
+    for s in (20485, 30334, 55847):
+        w = [f"{s}w{i}" for i in range(49)]
+        texts += [" ".join(w), " ".join([*w[:44], "x", *w[45:]])]
+        assert math.isclose(jaccard(*texts[-2:]), 0.8)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+
+
+def test_balls_of_the_stage_meet_up_to_three_bits(spark):
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        base = [rng.randrange(1 << 32) for _ in range(simhash.PRINTS)]
+        other = [x ^ sum(1 << i for i in rng.sample(range(32), 7)) for x in base]
+        at = k % simhash.PRINTS
+        other[at] = base[at] ^ sum(1 << i for i in rng.sample(range(32), k % 6))
+        rows += [(2 * k, 50, base), (2 * k + 1, 50, other)]
+    found = {}
+    for r in simhash._meetings(spark.createDataFrame(rows, "fp long, size long, prints array<long>")).collect():
+        found.setdefault(r["key"], set()).add(r["fp"])
+    pairs = {tuple(sorted(x)) for x in found.values()}
+    assert {(2 * k, 2 * k + 1) for k in range(60) if k % 6 <= 3} <= pairs and not any((2 * k, 2 * k + 1) in pairs for k in range(60) if k % 6 == 5)
+
+
+def test_sets_set_aside_have_no_partner():
+    """Two sets of that similarity share, among their first shingles, as many as either one is asked for."""
+    rng = random.Random(3)
+    least = lambda n: simhash._least_shared(-(-n * 4 // 5))
+    for _ in range(4000):
+        n = rng.choice([1, 2, 4, 5, 9, 20, 50, 130, 400])
+        a = rng.sample(range(10**6), n)
+        b = [*a[: n - rng.randint(0, n // 4)], *rng.sample(range(10**6, 2 * 10**6), rng.randint(0, n // 4))]
+        a, b = ([(x * 7919 + 13) % 1000003 for x in y] for y in (a, b))
+        if 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b}):
+            first = [{*sorted({*y})[: simhash._first(len({*y}))]} for y in (a, b)]
+            assert len(first[0] & first[1]) >= max(least(len({*a})), least(len({*b})))
+
+
 # classifier
 def test_the_solver_reaches_the_optimum():
     """Against projected gradient ascent on the dual, and by the gap between primal and dual."""
