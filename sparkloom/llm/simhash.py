@@ -15,15 +15,17 @@ seven parts, two words at distance 3 or less agree in four of them at least; a
 fingerprint alone in all its 35 part combinations emits nothing more.
 
 drop_near_duplicates has its own rule, five-word shingles with a Jaccard
-similarity of SIMILAR or more, and its own fingerprints: PRINTS of 32 bits, of the
-distinct five-word shingles, whose balls meet in the same way (far points are 240).
-Meeting points are settled by hubs, each pair checked on the shingle sets before it
-links.  Two sets at 0.8 differ in a seventh of the bits, so balls of radius 3 don't
-reach all of them: what hubs leave open is compared by prefix filtering, exact for
-all pairs, over every set that can have a partner.  A set of n shingles shares 0.8 n
-with a partner, so, in the order of hashes, the l smallest that they share are among
-the first 0.2 n + l of either; a set with fewer than that many of its first shingles
-in other sets' first ones has no partner, and emits nothing more.
+similarity of SIMILAR or more, and its own fingerprints: PRINTS of 64 bits, of the
+distinct five-word shingles, whose balls meet in the same way, also only where four
+parts agree.  (Of 32 bits, texts with no more than a passage in common meet too, all
+with all.)  Meeting points are settled by hubs, each pair checked on the shingle sets
+before it links.  Two sets at 0.8 differ in a seventh of the bits, so balls of radius 3
+don't reach all of them: what they leave open is compared by prefix filtering, exact
+for all pairs, over every set that can have a partner, after hubs of the shingles that
+it looks at have settled groups of near copies.  A set of n shingles shares 0.8 n with
+a partner, so, in the order of hashes, the l smallest that they share are among the
+first 0.2 n + l of either; a set with fewer than that many of its first shingles in
+other sets' first ones has no partner, and emits nothing more.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and
 links like any other; fewer than three words make one shingle of all of them;
@@ -50,12 +52,11 @@ NEAR_SHINGLE = 5
 BROADCAST_ROWS = 200_000
 BATCH = 512  # rows whose shingles are held at once
 SIMILAR = (4, 5)  # least Jaccard similarity, as a fraction
-PRINTS = 4
+PRINTS = 2
 SLACK = 20  # l is one and a twentieth of the set
 SIZE_STEP = 1.02  # sizes of sets within this factor share a bin
 STARS = 2
 HALVES = (range(0, 32), range(32, 64))
-NARROW = (range(0, 16), range(16, 32))
 PARTS = tuple(range(64 * k // 7, 64 * (k + 1) // 7) for k in range(7))
 
 
@@ -65,8 +66,6 @@ def _signed(x: int) -> int:
 
 NEAR = [0] + [_signed(1 << i) for i in range(64)]
 FAR = [_signed(1 << i | 1 << j) for half in HALVES for i, j in combinations(half, 2)]
-NARROW_NEAR = [0] + [1 << i for i in range(32)]
-NARROW_FAR = [1 << i | 1 << j for half in NARROW for i, j in combinations(half, 2)]
 AGREE = [_signed(sum(1 << i for part in four for i in part)) for four in combinations(PARTS, 4)]
 
 
@@ -155,17 +154,17 @@ def _shingles(text: str | None, words: int):
 
 
 def _prints(own) -> list[int]:
-    """The 32-bit fingerprints of a set of hashes: a bit is 1 if set in over half of them."""
+    """The 64-bit fingerprints of a set of hashes, signed: a bit is 1 if set in over half of them."""
     import numpy as np
 
-    votes = np.zeros((PRINTS // 2, 64), np.int64)
+    votes = np.zeros((PRINTS, 64), np.int64)
     for at in range(0, len(own), CHUNK):
         h = own[at : at + CHUNK]
-        for k in range(PRINTS // 2):
+        for k in range(PRINTS):
             votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.packbits(2 * votes.ravel() > len(own), bitorder="little").view("<u4").tolist()
+    return np.packbits(2 * votes.ravel() > len(own), bitorder="little").view("<i8").tolist()
 
 
 def _least_shared(n: int) -> int:
@@ -217,12 +216,15 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _hub_pairs(rest: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Each bucket's hub of round k with its other members, and the buckets without it.
     The first hub is the member that meets most others over all its buckets, which of a
-    group of near copies is close to what they are copies of; the next one is any."""
-    hub = rest.groupBy("key").agg(F.max(F.struct("weight" if k == 0 else F.xxhash64("fp"), "fp", "size", "root")).alias("hub"))
+    group of near copies is close to what they are copies of; the next one is any.
+    Members with a rank in the bucket pair where it leaves room for the overlap needed."""
+    hub = rest.groupBy("key").agg(F.max(F.struct("weight" if k == 0 else F.xxhash64("fp"), *[c for c in rest.columns if c not in ("key", "weight")])).alias("hub"))
     met = rest.join(hub, "key")
-    pairs = met.where((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("size"), F.col("hub.size")))
-    pairs = pairs.select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v")).distinct()
-    return pairs, met.where("fp <> hub.fp").select("key", "fp", "size", "weight")
+    fit = (F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("size"), F.col("hub.size"))
+    if "rank" in rest.columns:
+        fit &= _room(F.col("size"), F.col("rank"), F.col("hub.size"), F.col("hub.rank"))
+    pairs = met.where(fit).select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v")).distinct()
+    return pairs, met.where("fp <> hub.fp").select(rest.columns)
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -230,6 +232,39 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """The overlap that sets of n and m need for SIMILAR."""
+    return F.ceil((SIMILAR[0] * (n + m)).cast("double") / sum(SIMILAR))
+
+
+def _room(n: Column, rank: Column, m: Column, its: Column) -> Column:
+    """Whether so much follows a shingle of these ranks, itself included, in sets of n and m."""
+    return F.least(n - rank, m - its) >= _needed(n, m)
+
+
+def _ordered(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of rest (fp, size, root) with closed, the number of their shingles that are held
+    within one component, rare, the others (df, token) by ascending frequency, and least, the
+    size of the smallest partner."""
+    tokens = sets.join(rest, "fp").select("fp", "size", "root", F.explode("words").alias("token"))
+    open_ = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    own = tokens.join(open_, "token").groupBy("fp", "size", "root").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    own = own.withColumn("closed", F.col("size") - F.size("rare")).withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1])))
+    return materialize(own, "rare")
+
+
+def _emitted(m: Column) -> Column:
+    """The open ones of the first shingles that members of _ordered look at for a partner of size m."""
+    return F.slice("rare", 1, F.greatest(F.lit(0), F.col("size") - _needed(F.col("size"), m) + 1 - F.col("closed")).cast("int"))
+
+
+def _token_members(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, fp, size, root, rank) of the shingles that prefix filtering looks at: those
+    of a similar pair in different components meet at the first that they share."""
+    own = _ordered(rest, sets).select("fp", "size", "root", "closed", F.posexplode(_emitted(F.col("least"))).alias("at", "x"))
+    return own.select(F.col("x.token").alias("key"), "fp", "size", "root", (F.col("closed") + F.col("at")).alias("rank"))
+
+
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of members of rest (fp, size, root) in different components that can
     have a Jaccard similarity t of SIMILAR: prefix filtering.
@@ -240,51 +275,59 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     of them, and no more than a - 1 follow it in either.  Members say for which sizes of a
     smaller partner, in bins, they send a shingle, so that those that lie too far from all
     others of their size send none: a large group of them makes no pairs."""
-    up, both = SIMILAR[0], sum(SIMILAR)
     bin_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
-    needed = lambda n, m: F.ceil((up * (n + m)).cast("double") / both)
-    tokens = sets.join(rest, "fp").select("fp", "size", "root", F.explode("words").alias("token"))
-    open_ = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
-    own = tokens.join(open_, "token").groupBy("fp", "size", "root").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    own = own.withColumn("closed", F.col("size") - F.size("rare")).withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1])))
-    own = materialize(own, "rare")
-    emitted = lambda m: F.slice("rare", 1, F.greatest(F.lit(0), F.col("size") - needed(F.col("size"), m) + 1 - F.col("closed")).cast("int"))
+    own = _ordered(rest, sets)
     rank = (F.col("closed") + F.col("at")).alias("rank")
-    small = own.select("fp", "size", "root", "closed", F.posexplode(emitted(F.col("size"))).alias("at", "x"))
+    small = own.select("fp", "size", "root", "closed", F.posexplode(_emitted(F.col("size"))).alias("at", "x"))
     small = small.select(F.col("x.token").alias("token"), bin_of(F.col("size")).alias("bin"), F.col("fp").alias("v"), F.col("size").alias("other"), F.col("root").alias("its"), rank.alias("its_rank"))
     bins = own.select("*", F.explode(F.sequence(bin_of(F.col("least")), bin_of(F.col("size")))).alias("bin"))
     low = F.greatest(F.col("least"), F.floor(F.pow(F.lit(SIZE_STEP), F.col("bin").cast("double"))))
-    large = bins.select("fp", "size", "root", "closed", "bin", F.posexplode(emitted(low)).alias("at", "x")).select("fp", "size", "root", "bin", F.col("x.token").alias("token"), rank)
+    large = bins.select("fp", "size", "root", "closed", "bin", F.posexplode(_emitted(low)).alias("at", "x")).select("fp", "size", "root", "bin", F.col("x.token").alias("token"), rank)
     smaller = (F.col("other") < F.col("size")) | ((F.col("other") == F.col("size")) & (F.col("v") < F.col("fp")))
-    enough = F.least(F.col("size") - F.col("rank"), F.col("other") - F.col("its_rank")) >= needed(F.col("size"), F.col("other"))
+    enough = _room(F.col("size"), F.col("rank"), F.col("other"), F.col("its_rank"))
     near = (large.token == small.token) & (large.bin == small.bin) & smaller & (F.col("root") != F.col("its")) & enough
     return large.join(small, near).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct()
 
 
-def _near_roots(members: DataFrame, sets: DataFrame, close: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components that the similar pairs of members (key, fp,
-    size) make.  STARS rounds compare each bucket's hub with the others and take it
-    out, which settles groups of near copies without their pairs; all of close (fp,
-    size), or without it the members that are then left in buckets of several
-    components, are compared by prefix filtering, which no pair of theirs escapes."""
+def _open(rest: DataFrame) -> DataFrame:
+    """The members of rest (key, root and others) in buckets of several components."""
+    several = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rest.join(several, "key")
+
+
+def _link(pairs: DataFrame, sets: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """edges with the similar ones of the pairs, and (node, root) of the components that they make."""
+    new = materialize(_similar(materialize(pairs, "pairs"), sets), "similar")
+    edges = new if edges is None else edges.union(new)
+    return edges, materialize(components(edges), "roots")
+
+
+def _stars(members: DataFrame, sets: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """edges and roots after STARS rounds, each of which compares the hub of every bucket of
+    members (key, fp, size, root) with the others and takes it out."""
     of_key = members.groupBy("key").agg(F.count("*").alias("n"))
     weights = members.join(of_key, "key").groupBy("fp").agg(F.sum("n").alias("weight"))
-    edges, rest = None, materialize(members.join(weights, "fp").withColumn("root", F.col("fp")), "weighted")
-    for k in range(STARS + 1):
-        if k < STARS:
-            pairs, rest = _hub_pairs(rest, k)
-        else:
-            pairs = _prefix_pairs(rest.select("fp", "size", "root").distinct() if close is None else _rooted(close, roots), sets)
-        new = materialize(_similar(materialize(pairs, "pairs"), sets), "similar")
-        edges = new if edges is None else edges.union(new)
-        roots = materialize(components(edges), "roots")
-        if k < STARS:
-            rest = _rooted(rest, roots)
-            open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            rest = materialize(rest.join(open_, "key"), "rest")
-            if close is None and rest.isEmpty():
-                break
-    return roots
+    rest = materialize(members.join(weights, "fp"), "weighted")
+    for k in range(STARS):
+        pairs, rest = _hub_pairs(rest, k)
+        edges, roots = _link(pairs, sets, edges)
+        if k < STARS - 1:
+            rest = materialize(_open(_rooted(rest, roots)), "rest")
+    return edges, roots
+
+
+def _near_roots(members: DataFrame, sets: DataFrame, close: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components that the similar pairs of close (fp, size), or without it
+    of the members (key, fp, size), make.  Hubs of the members' buckets, then those of the
+    shingles that prefix filtering looks at, settle groups of near copies without their pairs;
+    sets of which one of these shingles is then still held in several components are compared
+    by prefix filtering, which no pair escapes."""
+    close = members.select("fp", "size").distinct() if close is None else close
+    edges, roots = _stars(materialize(members.withColumn("root", F.col("fp")), "members"), sets)
+    tokens = materialize(_open(_token_members(_rooted(close, roots), sets)), "tokens")
+    edges, roots = _stars(tokens, sets, edges)
+    left = materialize(_open(_rooted(tokens, roots)).select("fp", "size", "root").distinct(), "left")
+    return _link(_prefix_pairs(left, sets), sets, edges)[1]
 
 
 def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -302,11 +345,15 @@ def _close(classes: DataFrame) -> DataFrame:
 def _meetings(close: DataFrame) -> DataFrame:
     """Members (key, fp, size) of the points at which the balls around the prints of close (fp,
     size, prints) meet with a near side; of points with the same members one is kept."""
-    flips = lambda side: F.array(*[F.lit(m).cast("long") for m in side])
     prints = close.select("fp", "size", F.posexplode("prints").alias("k", "print"))
-    near = prints.select("*", F.explode(flips(NARROW_NEAR)).alias("flip"), F.lit(True).alias("near"))
-    far = prints.where(F.bit_count("print") % 2 == 1).select("*", F.explode(flips(NARROW_FAR)).alias("flip"), F.lit(False).alias("near"))
-    met = near.union(far).select((F.shiftleft(F.col("k").cast("long"), 32) + F.col("print").bitwiseXOR(F.col("flip"))).alias("key"), "fp", "size", "near")
+    keyed = prints.select("fp", "k", "print", F.posexplode(F.array(*[F.lit(m) for m in AGREE])).alias("part", "mask"))
+    keyed = keyed.select("fp", "k", "part", F.col("print").bitwiseAND(F.col("mask")).alias("agree"))
+    shared = keyed.groupBy("k", "part", "agree").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "part", "agree")
+    alike = keyed.join(shared, ["k", "part", "agree"]).select("fp", "k").distinct()
+    prints = materialize(prints.join(alike, ["fp", "k"]), "alike")
+    near = prints.select("*", F.explode(F.array(*[F.lit(m) for m in NEAR])).alias("flip"), F.lit(True).alias("near"))
+    far = prints.where(F.bit_count("print") % 2 == 1).select("*", F.explode(F.array(*[F.lit(m) for m in FAR])).alias("flip"), F.lit(False).alias("near"))
+    met = near.union(far).select(F.xxhash64("k", F.col("print").bitwiseXOR(F.col("flip"))).alias("key"), "fp", "size", "near")
     points = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.max("near").alias("near")).where("n > 1 and near")
     return met.join(points.groupBy("n", "who").agg(F.min("key").alias("key")).select("key"), "key").select("key", "fp", "size")
 
@@ -325,7 +372,7 @@ def _near_classes(docs: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted, ["id", "mark"]).dropDuplicates(["fp"])
     sets = materialize(texts.select("fp", "text").mapInArrow(_set_batches, "fp long, words array<long>"), "sets")
-    roots = _near_roots(materialize(_meetings(close), "members"), sets, close.select("fp", "size"))
+    roots = _near_roots(_meetings(close), sets, close.select("fp", "size"))
     return materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import classifier, licenses, lm, packing, pieces, pii, simhash, warc
@@ -85,6 +86,26 @@ def test_near_copies_that_no_band_of_minhashes_shares_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
 
 
+def test_texts_with_a_passage_in_common_do_not_meet(spark):
+    """300 sets that share 60 of 100 shingles, a similarity of 0.43, are no members of any bucket."""
+    rng = random.Random(3)
+    common = [rng.randrange(1 << 64) for _ in range(60)]
+    sets = [np.array(common + [rng.randrange(1 << 64) for _ in range(40)], np.uint64) for _ in range(300)]
+    rows = [(k, 100, simhash._prints(own)) for k, own in enumerate(sets)]
+    assert simhash._meetings(spark.createDataFrame(rows, "fp long, size long, prints array<long>")).count() == 0
+
+
+def test_hubs_of_shingles_settle_copies_without_their_pairs(spark):
+    """200 sets with 92 shingles of a base of 100: 0.85 like it, less than 0.8 like most of each other."""
+    rng = random.Random(9)
+    base = list(range(100))
+    sets = [(0, base)] + [(k, sorted(rng.sample(base, 92)) + list(range(1000 * k, 1000 * k + 8))) for k in range(1, 201)]
+    df = spark.createDataFrame(sets, "fp long, words array<long>")
+    members = simhash._open(simhash._token_members(df.selectExpr("fp", "cast(100 as long) as size", "fp as root"), df))
+    edges, roots = simhash._stars(members, df)
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(k, 0) for k in range(1, 201)} and edges.count() < 1000
+
+
 def test_balls_of_the_stage_meet_up_to_three_bits(spark):
     rng, rows = random.Random(5), []
     for k in range(60):
