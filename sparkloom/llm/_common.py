@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -78,16 +79,50 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files and a broadcast's blocks when the driver collects the
+    plan that made them, which a driver whose heap isn't full leaves for later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id, n: int = 5):
     """crc32 of the id as text, modulo n (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+#: So many edges, 32 MB of ids, are joined by one task: the rounds' plans cost the driver more than that.
+LOCAL_EDGES = 2_000_000
+
+
+def _forest(batches):
+    """(node, root) of all the edges: roots of both ends hook to the smaller one, then all paths are halved."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*([c.to_numpy() for c in b.columns] for b in batches))]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+        still = root[a] != root[b]
+        a, b = a[still], b[still]
+    inner = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[root[inner]])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, root) with the smallest
     node of each component; the root itself gets no row.
 
-    Alternating large-star and small-star rounds.  Each round takes minima with
+    Up to LOCAL_EDGES edges are joined by one task.  Of more than that: alternating large-star and small-star rounds.  Each round takes minima with
     map-side combining and then one equi-join whose other side is unique on the
     key, so a hub is split by AQE's skew join.  Each round's edges are written
     to the shared folder; nothing but two numbers reaches the driver.
@@ -96,6 +131,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges"
     )
 
+    if cur.count() <= LOCAL_EDGES:
+        return cur.coalesce(1).mapInArrow(_forest, "node long, root long")
+
     def signature(df):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first()
 

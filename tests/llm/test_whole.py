@@ -10,7 +10,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sparkloom.llm import classifier, licenses, lm, packing, pieces, pii, simhash, warc
+from sparkloom.llm import _common, classifier, licenses, lm, packing, pieces, pii, simhash, warc
+from sparkloom.llm._common import components
 
 from .cases import none, odd
 
@@ -121,6 +122,45 @@ def test_balls_of_the_stage_meet_up_to_three_bits(spark):
     assert {(2 * k, 2 * k + 1) for k in range(60) if k % 6 <= 3} <= pairs and not any((2 * k, 2 * k + 1) in pairs for k in range(60) if k % 6 == 5)
 
 
+def test_components_of_one_task_and_of_rounds(spark, monkeypatch):
+    """The same roots as by hand either way, and of few edges, here a chain of 500, a few jobs."""
+    rng = random.Random(4)
+    chain = rng.sample(range(10**6), 500)
+    edges = [*zip(chain, chain[1:]), *((-k, -k % 7 - 60) for k in range(1, 50)), (5, 5), (-(1 << 63), (1 << 63) - 1)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    want = {k: v for k, v in root.items() if k != v}
+    df = spark.createDataFrame(edges, "u long, v long")
+    spark.sparkContext.setJobGroup("components", "")
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert jobs <= 6 and components(df.limit(0)).count() == 0
+    monkeypatch.setattr(_common, "LOCAL_EDGES", 0)
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want and components(df.limit(0)).count() == 0
+
+
+def test_no_ball_is_broadcast(spark, monkeypatch):
+    """A small table of prints makes many points and keys: they go to no driver."""
+    plans, write = [], simhash.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    rng = random.Random(2)
+    base = [rng.randrange(1 << 62) for _ in range(simhash.PRINTS)]
+    close = spark.createDataFrame([(k, 50, [x ^ k for x in base]) for k in range(40)], "fp long, size long, prints array<long>")
+    plans.append(plan(simhash._meetings(write(close, "close"))))
+    depth, within, seen = lambda x: len(re.match(r"[\s:+*-]*", x)[0]), None, 0
+    for line in "\n".join(plans).split("\n"):
+        within = None if within is not None and depth(line) <= within else within
+        within = depth(line) if "BroadcastExchange" in line and within is None else within
+        made = re.search(r"explode\(\[", line)
+        seen += bool(made)
+        assert within is None or not made
+    assert seen >= 3
+
+
 def test_sets_set_aside_have_no_partner():
     """Two sets of that similarity share, among their first shingles, as many as either one is asked for."""
     rng = random.Random(3)
