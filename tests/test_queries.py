@@ -41,6 +41,25 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+#: Queries over the 64-bit lane.
+LANE64 = [
+    "nd_abs_int64",
+]
+
+
+@pytest.mark.parametrize("name", LANE64)
+def test_keys_over_the_whole_64_bit_lane(spark, tmp_path, name):
+    """Part keys of larger tables, at which the lane's product alone leaves 64 bits; in DuckDB it is taken in 128."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"copy (select unnest([0, 1, 9999, 10000, 11529, 11530, 19999, 20000, 31530, 1199999])::bigint as p_partkey, 7::int as p_size) to '{tmp_path}/part.parquet' (format parquet)")
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = con.sql(plans.SQL[name].replace("(i % 20000) * 800000000000003", "(i % 20000)::HUGEINT * 800000000000003"))
+    got = plans.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
