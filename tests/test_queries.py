@@ -44,6 +44,7 @@ def test_query(spark, duck, name):
 #: Queries over the 64-bit lane.
 LANE64 = [
     "nd_abs_int64",
+    "nd_add_int32_int64",
 ]
 
 
