@@ -45,6 +45,7 @@ def test_query(spark, duck, name):
 LANE64 = [
     "nd_abs_int64",
     "nd_add_int32_int64",
+    "nd_add_int64_int64",
 ]
 
 
