@@ -48,6 +48,7 @@ LANE64 = [
     "nd_add_int64_int64",
     "nd_div_int64",
     "nd_less",
+    "nd_mul_int32_int64",
 ]
 
 
