@@ -51,6 +51,7 @@ LANE64 = [
     "nd_mul_int32_int64",
     "nd_mul_int64_int64",
     "nd_neg_int64",
+    "nd_pow_int64",
 ]
 
 
