@@ -52,6 +52,7 @@ LANE64 = [
     "nd_mul_int64_int64",
     "nd_neg_int64",
     "nd_pow_int64",
+    "nd_sub_int32_int64",
 ]
 
 
