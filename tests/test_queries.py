@@ -54,6 +54,7 @@ LANE64 = [
     "nd_pow_int64",
     "nd_sub_int32_int64",
     "nd_sub_int64_int64",
+    "nd_sum_int64",
 ]
 
 
